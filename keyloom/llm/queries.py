@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keyloom.llm import encoding_repair, lookalikes, term_frequency
+from keyloom.llm import abuse, contamination, encoding_repair, lookalikes, mixing, term_frequency
 from keyloom.runtime import table
 
 
@@ -52,8 +52,58 @@ def p5_consistent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookalikes.consistent(table(spark, sf_dir, "sample"), "entry_no")
 
 
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that share at least 12 consecutive words with a test item."""
+    hits = contamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+    return hits.select("doc_id", "item_id").distinct()
+
+
+def p6_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where the leaked passages stand and how long they are."""
+    return contamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
+def p6_cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaking documents with the passages cut out."""
+    return contamination.without_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
+def p7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chosen posts with their repeats."""
+    return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
+
+
+def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Actual share of each source."""
+    return mixing.shares(p7_mix(spark, sf_dir), table(spark, sf_dir, "mix_targets"))
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Abusive documents."""
+    scored = abuse.scores(table(spark, sf_dir, "documents"), ("doc_id",))
+    return scored.where(F.col("score") >= abuse.THRESHOLD).select("doc_id")
+
+
+def p8_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score of every document."""
+    return abuse.scores(table(spark, sf_dir, "documents"))
+
+
+def p8_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rate of abusive documents per source."""
+    return abuse.rates(table(spark, sf_dir, "documents"))
+
+
+def p8_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Agreement of the score with the raters' labels."""
+    return abuse.agreement(table(spark, sf_dir, "documents"), table(spark, sf_dir, "abuse_labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p3_found, p3_repaired, p4_found, p4_terms, p5_found, p5_consistent)
+    f.__name__: f for f in (
+        p3_found, p3_repaired, p4_found, p4_terms, p5_found, p5_consistent, p6_found, p6_passages, p6_cleaned, p7_mix,
+        p7_shares, p8_found, p8_scores, p8_rates, p8_agreement,
+    )
 }
 
 _TERMS = """
@@ -66,7 +116,19 @@ _TERMS = """
         FROM counts, total)
 """
 
+_WORDS = r"""
+    regexp_extract_all(lower(regexp_replace(regexp_replace(text, '</?[A-Za-z][^<>]*>|\[/?[A-Za-z]+(=[^\]\r\n]*)?\]', ' ', 'g'),
+        '&#?[A-Za-z0-9]+;', ' ', 'g')), '[\pL\pN]+')"""
+
 ORACLE_SQL: dict[str, str] = {
     "p4_found": _TERMS + "SELECT tag, mark FROM marked WHERE mark IS NOT NULL",
+    "p6_found": rf"""
+        WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents WHERE text IS NOT NULL),
+        e AS (SELECT item_id, {_WORDS} AS w FROM eval_items WHERE text IS NOT NULL),
+        dg AS (SELECT doc_id, array_to_string(w[i:i+11], ' ') AS g
+               FROM (SELECT doc_id, w, unnest(range(1, len(w) - 10)) AS i FROM d)),
+        eg AS (SELECT item_id, array_to_string(w[i:i+11], ' ') AS g
+               FROM (SELECT item_id, w, unnest(range(1, len(w) - 10)) AS i FROM e))
+        SELECT DISTINCT doc_id, item_id FROM dg JOIN eg USING (g)""",
     "p4_terms": _TERMS + "SELECT * FROM marked",
 }
