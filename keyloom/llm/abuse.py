@@ -29,6 +29,9 @@ from keyloom.llm.lookalikes import IGNORABLE, LIKE, TWINS
 #: Score from which a document counts as abusive.
 THRESHOLD = 1.0
 
+#: A clause longer than WINDOW words is matched in windows that share OVERLAP words, more than any pattern spans.
+WINDOW, OVERLAP = 64, 20
+
 #: The lexicon, by class symbol; words in lower case without accents.
 LEXICON = {
     # Second person, first person, their possessives, copulas.
@@ -175,8 +178,9 @@ def clauses(text: str) -> list[str]:
     out = []
     for clause in _CLAUSE.split(_SPACED.sub(lambda m: m.group().replace(m.group(2), ""), text)):
         tokens = [lookup(x) for x in _TOKEN.findall(clause)]
-        if tokens:
-            out.append(" ".join(tokens))
+        for start in range(0, max(1, len(tokens) - OVERLAP), WINDOW - OVERLAP):
+            if tokens:
+                out.append(" ".join(tokens[start : start + WINDOW]))
     return out
 
 

@@ -18,15 +18,16 @@ def record_terms(terms: Column) -> Column:
     record with very many terms costs no more than its share.
     """
     ordered = F.array_sort(F.filter(terms, lambda t: t.isNotNull()))
-    return F.coalesce(
-        F.transform(
-            ordered,
-            lambda t, i: F.struct(
-                t.alias("term"), ((i == 0) | (F.try_element_at(ordered, F.greatest(i, F.lit(1))) != t)).alias("first")
-            ),
-        ),
-        F.array().cast("array<struct<term:string,first:boolean>>"),
-    )
+
+    def marked(bound: Column) -> Column:
+        before = lambda i: F.try_element_at(bound, F.greatest(i, F.lit(1)))
+        return F.transform(
+            bound, lambda t, i: F.struct(t.alias("term"), ((i == 0) | (before(i) != t)).alias("first"))
+        )
+
+    # Bound by an outer lambda, the sorted array is made once per record, not once per element.
+    found = F.transform(F.array(ordered), marked)[0]
+    return F.coalesce(found, F.array().cast("array<struct<term:string,first:boolean>>"))
 
 
 def term_frequencies(records: DataFrame, terms: Column, rare_below: int = 3, common_above: float = 0.1) -> DataFrame:

@@ -1,0 +1,152 @@
+"""Leaking test passages, mixing and abusive content."""
+
+import random
+
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from keyloom.llm import abuse, contamination, mixing
+
+ITEM = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen"
+DOCS = "doc_id long, text string, source string"
+
+
+def leaks(spark, texts, items, **options):
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    tests = spark.createDataFrame([(i, t) for i, t in enumerate(items)], "item_id long, text string")
+    rows = contamination.leaks(docs, tests, **options).collect()
+    return sorted((r.doc_id, r.item_id, r.start, r.end, r.n_words) for r in rows)
+
+
+@pytest.mark.parametrize("options", [{}, {"broadcast_chars": 0}])
+def test_passages(spark, options):
+    texts = [
+        f"xx {ITEM} yy",
+        ITEM.upper().replace(" ", ",\t "),
+        " ".join(ITEM.split()[:11]),
+        "> " + "\n> ".join(ITEM.split()[:12]),
+        "One&nbsp;two <b>three</b> [i]four[/i] five&#44; six seven eight nine ten <br>eleven<i> twelve</i>",
+        "one two three four five six x seven eight nine ten eleven twelve thirteen fourteen",
+        None, "", ITEM + " " + ITEM,
+    ]
+    found = leaks(spark, texts, [ITEM, "too short", None, ITEM.title()], **options)
+    by = {(d, i): n for d, i, _, _, n in found}
+    assert {k for k in by} == {(d, i) for d in (0, 1, 3, 4, 8) for i in (0, 3)}
+    assert by[0, 0] == 14 and by[3, 0] == 12 and by[4, 0] == 12
+    start, end = next((s, e) for d, i, s, e, _ in found if (d, i) == (0, 0))
+    assert texts[0][start:end] == ITEM
+    assert leaks(spark, [], [ITEM], **options) == leaks(spark, [ITEM], [], **options) == []
+
+
+@settings(max_examples=8, deadline=None)
+@given(st.lists(st.text("ab .é", max_size=40), max_size=5), st.lists(st.text("ab .é", max_size=30), max_size=3))
+def test_passages_equal_brute_force_both_ways(spark, texts, items):
+    n = 3
+    grams = lambda t: [tuple(contamination.words(t)[0][i : i + n]) for i in range(len(contamination.words(t)[0]) - n + 1)]
+    want = {(d, i) for d, t in enumerate(texts) for i, x in enumerate(items) if set(grams(t)) & set(grams(x))}
+    assert {x[:2] for x in leaks(spark, texts, items, n=n)} == want
+    assert leaks(spark, texts, items, n=n) == leaks(spark, texts, items, n=n, broadcast_chars=0)
+
+
+def test_passages_are_cut_out(spark):
+    docs = spark.createDataFrame([(1, f"before {ITEM} after", 0), (2, "clean", 0)], "doc_id long, text string, items int")
+    tests = spark.createDataFrame([(7, ITEM)], "item_id long, text string")
+    rows = contamination.without_leaks(docs, tests).collect()
+    assert [(r.doc_id, r.clean_text, r["items"]) for r in rows] == [(1, "before  after", [7])]
+
+
+def test_words_keep_letter_entities_together():
+    assert contamination.words("caf&eacute; a&amp;b x_y 1٢")[0] == ["café", "a", "b", "x", "y", "1٢"]
+
+
+def test_very_long_text():
+    index = contamination.TestIndex([(1, ITEM)])
+    assert index.spans("a b " * 300_000 + ITEM)[0][0] == 1
+
+
+def documents(spark, n=600):
+    rng, words = random.Random(1), {"a": "keel mast sail", "b": "seed soil rose", "c": "code loop stack"}
+    rows = []
+    for i in range(n):
+        source = rng.choices(["a", "b", "c", None, "other"], [60, 25, 5, 5, 5])[0]
+        text = " ".join(rng.choice(words.get(source, "x y").split()) for _ in range(rng.randint(1, 40)))
+        rows.append((i, text if i % 50 else None, source))
+    return spark.createDataFrame(rows, DOCS)
+
+
+def test_mix_meets_targets_and_caps(spark):
+    docs = documents(spark)
+    targets = spark.createDataFrame([("a", 0.5, 1), ("b", 0.3, 2), ("c", 0.2, 3), ("gone", 0.0, 1)], "source string, weight double, max_repeat int")
+    chosen = mixing.mix(docs, targets)
+    rows = chosen.collect()
+    caps = {"a": 1, "b": 2, "c": 3}
+    assert rows and all(1 <= r.repeats <= caps[r.source] for r in rows)
+    shares = {r.source: (r.share, r.most_repeats) for r in mixing.shares(chosen, targets).collect()}
+    for source, weight in (("a", 0.5), ("b", 0.3), ("c", 0.2)):
+        assert abs(shares[source][0] - weight) < 0.02, shares
+    assert shares["gone"] == (0.0, 0) and shares["c"][1] == 3  # the scarcest source is used to its cap
+    assert rows == mixing.mix(docs, targets).collect()
+
+
+def test_mix_of_nothing(spark):
+    targets = spark.createDataFrame([("a", 1.0, 1), (None, 1.0, 1)], "source string, weight double, max_repeat int")
+    none = spark.createDataFrame([(1, None, "a"), (2, "x", None), (None, "", "a")], DOCS)
+    assert mixing.mix(none, targets).count() == 0
+    assert [r.share for r in mixing.shares(mixing.mix(none, targets), targets).collect()] == [None]
+    assert mixing.mix(documents(spark, 5), targets.where("false")).count() == 0
+
+
+def test_posteriors_tell_domains_apart(spark):
+    members = mixing.memberships(documents(spark), ["a", "b", "c"]).collect()
+    right = sum(r.domains["abc".index(r.source)] == max(r.domains) for r in members)
+    assert right / len(members) > 0.95 and all(abs(sum(r.domains) - 1) < 1e-9 for r in members)
+
+
+ABUSIVE = [
+    "You stupid idiot.", "Shut up, m0r0n, nobody asked.", "what a pathetic l.o.s.e.r", "You are a p*g.", "Du hirnloser Penner!",
+    "Listen, bаѕtаrd, get lost", "go play in traffic", "I will come over and break your legs.", "I hope you die slowly.",
+    "The foreigners are vermin.", "All newcomers are liars and thieves", "Go back to the kitchen", "send me nuuuudes",
+    "hot naked girls near you", "she begged him to f**k her", "You w o r t h l e s s idiot", "<b>You</b> dumb&#97;ss", "Va crever",
+    "Te voy a romper la cara", "ich schlag dir die Zähne aus", "you are a piece of sh1t", "KILL YOURSELF", "ＹＯＵ ＩＤＩＯＴ", "y​ou id​iot",
+]
+HARMLESS = [
+    "I was an idiot and forgot the key.", "Calling someone a moron gets you a week off.", "The bastard file is coarse.",
+    "Kill the process first.", "Shoot me a message.", "Visible to the naked eye.", "A pig got loose.", "Newcomers are welcome.",
+    "Blue tits at the feeder.", "You are not an idiot.", "The cockpit vents blow hot air.", "", "   ", "Rest the duck breast.",
+    "That dumb terminal still works.", "I broke your record.", "measure twice, cut once", "You have to kill the zombie process.",
+]
+
+
+@pytest.mark.parametrize("text", ABUSIVE)
+def test_abusive(text):
+    assert abuse.judge("Thanks for the tip. " + text)[0] >= abuse.THRESHOLD
+
+
+@pytest.mark.parametrize("text", HARMLESS)
+def test_harmless(text):
+    assert abuse.judge(text)[0] < abuse.THRESHOLD
+
+
+def test_scores_and_rates(spark):
+    rows = [(1, "You idiot", "s"), (2, None, "s"), (3, "fine", None), (1, "You idiot", "s"), (4, "You fool " * 100_000, "s")]
+    docs = spark.createDataFrame(rows, DOCS).withColumnRenamed("source", "source").selectExpr("*", "1 as score", "2 as kinds")
+    assert [(r.doc_id, r.score >= 1) for r in abuse.scores(docs).collect()] == [(1, True), (2, False), (3, False), (1, True), (4, False)]
+    rates = {r.source: (r.n_documents, r.n_abusive) for r in abuse.rates(docs).collect()}
+    assert rates == {"s": (4, 2), None: (1, 0)}
+    assert abuse.scores(docs.where("false")).count() == abuse.rates(docs.where("false")).count() == 0
+
+
+def test_agreement_on_labelled_documents(spark):
+    from keyloom.llm import queries
+
+    found = {(r.label, r.flagged): r.n for r in queries.p8_agreement(spark, "/root/testdata/sf0.1").collect()}
+    right = found["abusive", True] + found["ok", False]
+    assert right / (right + found["abusive", False] + found["ok", True]) > 0.93  # some labels are wrong
+
+
+@pytest.mark.parametrize("name", ["p3_found", "p4_found", "p5_found", "p6_found", "p7_mix", "p7_shares", "p8_found"])
+def test_registered_queries_run(spark, name):
+    from keyloom.llm import queries
+
+    assert queries.QUERIES[name](spark, "/root/testdata/sf0.001").count() > 0
