@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 import pyarrow as pa
 import regex
@@ -67,18 +68,22 @@ def search_forms(text: Column) -> Column:
     )
 
 
+def bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once, also where ``body`` uses it inside lambdas."""
+    return F.transform(F.array(value), body)[0]
+
+
 def gram_array(text: Column) -> Column:
     """``grams`` of a text column, by built-in expressions."""
-    parts = F.regexp_extract_all(text, F.lit(r"(?s)(\X)"), F.lit(1))
-    whole = F.transform(
-        F.sequence(F.lit(1), F.size(parts) - (GRAM - 1)), lambda i: F.array_join(F.slice(parts, i, GRAM), "")
-    )
-    short = F.array(F.concat(text, F.repeat(F.lit(PAD), F.lit(GRAM) - F.size(parts))))
-    return (
-        F.when(F.length(text) == 0, F.array().cast("array<string>"))
-        .when(F.size(parts) < GRAM, short)
-        .otherwise(F.array_distinct(whole))
-    )
+
+    def of(parts: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.size(parts) - (GRAM - 1), F.lit(1)))
+        whole = F.transform(starts, lambda i: F.array_join(F.slice(parts, i, GRAM), ""))
+        short = F.array(F.concat(F.array_join(parts, ""), F.repeat(F.lit(PAD), F.lit(GRAM) - F.size(parts))))
+        none = F.array().cast("array<string>")
+        return F.when(F.size(parts) == 0, none).when(F.size(parts) < GRAM, short).otherwise(F.array_distinct(whole))
+
+    return bind(F.regexp_extract_all(text, F.lit(r"(?s)(\X)"), F.lit(1)), of)
 
 
 def key_grams(forms: Column) -> Column:

@@ -10,17 +10,15 @@ from pyspark.sql import functions as F
 from keyloom.functions.text import GRAM, grams, graphemes, key_grams, normalize, search_forms, strip_accents
 from keyloom.model import CustomFilter, SearchFilter, TagFilter
 
-TRUE, FALSE = F.lit(True), F.lit(False)
-
 
 def has_prefix(key: Column, prefix: str) -> Column:
     """``key`` starts with ``prefix``; reaches the Parquet scan as StringStartsWith."""
-    return key.startswith(prefix) if prefix else TRUE
+    return key.startswith(prefix) if prefix else F.lit(True)
 
 
 def all_of(predicates: list[Column]) -> Column:
     """Conjunction; without predicates everything passes."""
-    return reduce(lambda a, b: a & b, predicates, TRUE)
+    return reduce(lambda a, b: a & b, predicates, F.lit(True))
 
 
 def holds_term(forms: Column, term: str) -> Column:
@@ -32,7 +30,7 @@ def holds_term(forms: Column, term: str) -> Column:
     """
     norm = normalize(term)
     if not norm:
-        return FALSE
+        return F.lit(False)
     held = forms["norm"].contains(norm) | forms["strip"].contains(strip_accents(norm))
     if len(graphemes(norm)) < GRAM:
         return held & (forms["norm"].contains(norm) | forms["strip"].contains(norm))
@@ -47,7 +45,7 @@ def lacks_term(forms: Column, term: str) -> Column:
     """The key holds an excluded term neither in its normal form nor without accents; an empty one excludes nothing."""
     norm = normalize(term)
     if not norm:
-        return TRUE
+        return F.lit(True)
     return ~(forms["norm"].contains(norm) | forms["strip"].contains(strip_accents(norm)))
 
 
@@ -80,7 +78,7 @@ def tag_entries(entries: DataFrame, tags: DataFrame | None, wanted: TagFilter, p
     """
     if wanted.include:
         if tags is None:
-            return entries.where(FALSE)
+            return entries.where(F.lit(False))
         entries = entries.join(tagged_ids(tags, wanted.include, wanted.mode, prefix), ["shard", "id"], "left_semi")
     if wanted.exclude and tags is not None:
         entries = entries.join(tagged_ids(tags, wanted.exclude, "or", prefix), ["shard", "id"], "left_anti")

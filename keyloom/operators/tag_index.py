@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from keyloom.functions.text import bind
 from keyloom.operators.predicates import has_prefix
 
 
@@ -22,11 +23,17 @@ def build_tags(entries: DataFrame, field: str = "tags") -> DataFrame:
             F.when(F.schema_of_variant(x) == "STRING", F.try_variant_get(x, "$", "string")).alias("tag"),
         ),
     )
-    kept = F.filter(marked, lambda x: x["tag"].isNotNull())
-    lower = F.transform(kept, lambda x: F.lower(x["tag"]))
-    first = F.filter(kept, lambda x, i: F.array_position(lower, F.lower(x["tag"])) == i + 1)
+    spelled = F.transform(
+        F.filter(marked, lambda x: x["tag"].isNotNull()),
+        lambda x: F.struct(F.lower(x["tag"]).alias("lc"), x["pos"].alias("pos"), x["tag"].alias("tag")),
+    )
+    # Sorted by tag and place, the first of each run stays; linear however long the array is.
+    first = bind(
+        F.array_sort(spelled),
+        lambda o: F.filter(o, lambda x, i: (i == 0) | (F.try_element_at(o, F.greatest(i, F.lit(1)))["lc"] != x["lc"])),
+    )
     rows = entries.where(F.col("payload").isNotNull()).select("shard", "id", "key", F.explode(first).alias("t"))
-    return rows.select("shard", "id", "key", F.lower("t.tag").alias("tag_lc"), F.col("t.tag").alias("tag"), "t.pos")
+    return rows.select("shard", "id", "key", F.col("t.lc").alias("tag_lc"), F.col("t.tag").alias("tag"), "t.pos")
 
 
 def manual_tags(entries: DataFrame, tags: DataFrame) -> DataFrame:

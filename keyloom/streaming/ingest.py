@@ -44,10 +44,10 @@ def ingest_stream(
     Ingestion only appends, so there is no event time and no watermark.  Batches are numbered by the checkpoint, which
     makes a repeated batch overwrite its own shard.  Bad JSON lines are dropped; a stream has no last line to stop at.
     """
-    lines = spark.readStream.text(source).withColumn("line_no", F.monotonically_increasing_id())
+    lines = spark.readStream.text(source)
 
     def write(batch: DataFrame, number: int) -> None:
-        kept = batch.where(F.col("value") != "")
+        kept = batch.withColumn("line_no", F.monotonically_increasing_id()).where(F.col("value") != "")
         keys = keys_from_text(kept, prefix) if json_key is None else keys_from_json(kept, json_key, prefix, "drop")
         append_shard(keys, path, number, tag_field)
 
