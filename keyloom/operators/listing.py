@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import binascii
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -36,38 +37,59 @@ def select_entries(entries: DataFrame, tags: DataFrame | None, query: ListQuery)
     )
 
 
-def list_entries(entries: DataFrame, tags: DataFrame | None, query: ListQuery) -> DataFrame:
+def list_entries(entries: DataFrame, tags: DataFrame | None, query: ListQuery, unique: bool = False) -> DataFrame:
     """``entry, kind, shard, id, payload, child_count`` of a listing, not yet ordered.
 
     A key in several shards appears once, with the row of the first; a group counts the rows of all shards, so such a
-    key counts as often as it is stored.  One aggregate does both, combined per task before the shuffle.
+    key counts as often as it is stored.  Groups and keys are planned apart: groups read the key column only and are
+    counted by a hash aggregate, combined per task before the shuffle; rows with payloads are compared only for keys
+    that stand for themselves, and not at all where keys are ``unique``, as in a single shard.
     """
     found = select_entries(entries, tags, query)
-    row = F.struct("shard", "id", *(["payload"] if query.payload else []))
+    parts = []
     if query.delimiter is None:
-        shaped = found.select(F.col("key").alias("entry"), F.lit(KEY).alias("kind"), row.alias("row"))
+        parts.append((KEY, found))
     else:
         rest = F.substring("key", len(query.prefix) + 1, 2**31 - 1)
         at = F.locate(query.delimiter, rest)
-        shaped = found.select(
-            F.when(at > 0, F.concat(F.lit(query.prefix), F.left(rest, at))).otherwise(F.col("key")).alias("entry"),
-            F.when(at > 0, COMMON_PREFIX).otherwise(KEY).alias("kind"),
-            F.when(at == 0, row).alias("row"),
-        )
-    if query.kind is not None:
-        shaped = shaped.where(F.col("kind") == query.kind)
-    if query.cursor is not None:
-        shaped = shaped.where(F.col("entry") > query.cursor)
-    merged = shaped.groupBy("entry", "kind").agg(F.min("row").alias("row"), F.count(F.lit(1)).alias("n"))
-    payload = F.col("row.payload") if query.payload else F.lit(None).cast("string")
-    return merged.select(
-        "entry",
-        "kind",
-        "row.shard",
-        "row.id",
-        payload.alias("payload"),
-        F.when(F.col("kind") == COMMON_PREFIX, F.col("n")).alias("child_count"),
-    )
+        group = F.concat(F.lit(query.prefix), F.left(rest, at))
+        parts.append((KEY, found.where(at == 0)))
+        parts.append((COMMON_PREFIX, found.where(at > 0).select(group.alias("entry"))))
+    shaped = [
+        (_keys if kind == KEY else _groups)(part, query, unique)
+        for kind, part in parts
+        if query.kind in (None, kind)
+    ]
+    if not shaped:  # only groups are wanted, and there are none without a delimiter
+        shaped = [_keys(found.where(F.lit(False)), query, unique)]
+    return reduce(DataFrame.unionByName, shaped)
+
+
+def _after(rows: DataFrame, query: ListQuery) -> DataFrame:
+    return rows if query.cursor is None else rows.where(F.col("entry") > query.cursor)
+
+
+def _keys(found: DataFrame, query: ListQuery, unique: bool) -> DataFrame:
+    named = _after(found.withColumn("entry", F.col("key")), query)
+    columns = ["shard", "id", *(["payload"] if query.payload else [])]
+    if unique:
+        rows = named.select("entry", *columns)
+    else:
+        first = named.groupBy("entry").agg(F.min(F.struct(*columns)).alias("row"))
+        rows = first.select("entry", *[f"row.{c}" for c in columns])
+    payload = F.col("payload") if query.payload else F.lit(None).cast("string")
+    return rows.select(
+        "entry", F.lit(KEY).alias("kind"), "shard", "id", payload.alias("payload"),
+        F.lit(None).cast("long").alias("child_count"),
+    )
+
+
+def _groups(found: DataFrame, query: ListQuery, unique: bool) -> DataFrame:
+    counted = _after(found, query).groupBy("entry").agg(F.count(F.lit(1)).alias("child_count"))
+    return counted.select(
+        "entry", F.lit(COMMON_PREFIX).alias("kind"), F.lit(None).cast("int").alias("shard"),
+        F.lit(None).cast("long").alias("id"), F.lit(None).cast("string").alias("payload"), "child_count",
+    )
 
 
 def ordered(listing: DataFrame, limit: int | None = None) -> DataFrame:

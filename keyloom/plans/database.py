@@ -49,12 +49,19 @@ class Database:
     def manifest(self) -> DataFrame:
         return manifest_of(self.entries, self.tags is not None) if self._manifest is None else self._manifest
 
+    def _candidates(self, prefix: str) -> list[int] | None:
+        """Shards that may hold the prefix, from a stored manifest, one row per shard; None where there is none."""
+        if not self.prune or self._manifest is None:
+            return None
+        return [r.shard for r in lookup.candidate_shards(self._manifest, prefix).collect()]
+
+    @staticmethod
+    def _within(table: DataFrame | None, shards: list[int] | None) -> DataFrame | None:
+        """Only the partitions of these shards."""
+        return table if table is None or shards is None else table.where(F.col("shard").isin(shards))
+
     def _pruned(self, table: DataFrame | None, prefix: str) -> DataFrame | None:
-        """Only the partitions of shards that may hold the prefix; needs a stored manifest, one row per shard."""
-        if table is None or not (self.prune and prefix and self._manifest is not None):
-            return table
-        shards = [r.shard for r in lookup.candidate_shards(self._manifest, prefix).collect()]
-        return table.where(F.col("shard").isin(shards))
+        return self._within(table, self._candidates(prefix) if prefix else None)
 
     def list(self, prefix: str = "", delimiter: str | None = None, **options: Any) -> DataFrame:
         return self.query(ListQuery(prefix=prefix, delimiter=delimiter, **options))
@@ -64,8 +71,9 @@ class Database:
         return listing.ordered(self._unordered(query))
 
     def _unordered(self, query: ListQuery) -> DataFrame:
-        entries, tags = self._pruned(self.entries, query.prefix), self._pruned(self.tags, query.prefix)
-        return listing.list_entries(entries, tags, query)
+        shards = self._candidates(query.prefix)
+        entries, tags = self._within(self.entries, shards), self._within(self.tags, shards)
+        return listing.list_entries(entries, tags, query, unique=shards is not None and len(shards) <= 1)
 
     def page(self, query: ListQuery, limit: int = MAX_LIMIT) -> tuple[list[Row], str | None]:
         """(entries of a page, cursor of the next one); there is a cursor if the page is full."""
