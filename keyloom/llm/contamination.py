@@ -16,6 +16,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: A passage leaks if so many consecutive words are shared.
 WORDS = 12
@@ -164,33 +165,33 @@ def _leaks_by_join(texts: DataFrame, items: DataFrame, n: int) -> DataFrame:
     ).drop("run")
 
 
-def without_leaks(documents: DataFrame, items: DataFrame, n: int = WORDS) -> DataFrame:
-    """``doc_id, text, clean_text, items`` of the documents that leak, leaked passages cut out of ``clean_text``.
+_CLEANED = T.StructType(
+    [T.StructField("clean_text", T.StringType()), T.StructField("items", T.ArrayType(T.LongType()))]
+)
 
-    Meant for a test set within the broadcast bound; beyond it, join ``leaks`` by ``doc_id``.
-    """
-    known = items.where(F.col("text").isNotNull() & F.col("item_id").isNotNull()).select(
-        F.col("item_id").cast("long"), "text"
-    )
-    if not _small(known, BROADCAST_CHARS):
-        raise ValueError("the test set is too large to be broadcast; join leaks() by doc_id")
-    rows = known.toArrow()
-    index = TestIndex(list(zip(rows["item_id"].to_pylist(), rows["text"].to_pylist())), n)
-    shared = documents.sparkSession.sparkContext.broadcast(index)
 
-    @F.arrow_udf("struct<clean_text:string,items:array<bigint>>")
-    def cleaned(batch: pa.Array) -> pa.Array:
-        out = []
-        for text in batch.to_pylist():
-            spans = shared.value.spans(text)
-            kept, at = [], 0
-            for _, start, end, _ in sorted(spans, key=lambda s: s[1]):
-                if end > at:
-                    kept.append(text[at : max(at, start)])
-                    at = end
-            out.append({"clean_text": "".join(kept) + text[at:], "items": sorted({s[0] for s in spans})})
-        return pa.array(out, type=pa.struct([("clean_text", pa.string()), ("items", pa.list_(pa.int64()))]))
+def _cut(texts: pa.Array, spans: pa.Array) -> pa.Array:
+    """Texts without their spans, and the items that the spans belong to."""
+    out = []
+    for text, found in zip(texts.to_pylist(), spans.to_pylist()):
+        kept, at = [], 0
+        for span in sorted(found, key=lambda s: s["start"]):
+            if span["end"] > at:
+                kept.append(text[at : max(at, span["start"])])
+                at = span["end"]
+        out.append({"clean_text": "".join(kept) + text[at:], "items": sorted({s["item_id"] for s in found})})
+    return pa.array(out, type=pa.struct([("clean_text", pa.string()), ("items", pa.list_(pa.int64()))]))
 
-    texts = documents.where(F.col("text").isNotNull()).select("doc_id", "text")
-    judged = texts.select("doc_id", "text", cleaned("text").alias("c")).where(F.size("c.items") > 0)
-    return judged.select("doc_id", "text", "c.clean_text", "c.items")
+
+def without_leaks(
+    documents: DataFrame, items: DataFrame, n: int = WORDS, broadcast_chars: int = BROADCAST_CHARS
+) -> DataFrame:
+    """``doc_id, text, clean_text, items`` of the documents that leak, leaked passages cut out of ``clean_text``.
+
+    ``doc_id`` is taken to be unique.  A document's passages are gathered in one row, as its text is.
+    """
+    found = leaks(documents, items, n, broadcast_chars)
+    spans = found.groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "start", "end")).alias("spans"))
+    joined = documents.select("doc_id", "text").join(spans, "doc_id")
+    cleaned = joined.select("doc_id", "text", F.arrow_udf(_cut, _CLEANED)("text", "spans").alias("c"))
+    return cleaned.select("doc_id", "text", "c.clean_text", "c.items")

@@ -7,6 +7,8 @@ one state per task.
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,7 +44,7 @@ def term_frequencies(records: DataFrame, terms: Column, rare_below: int = 3, com
     counts = emitted.groupBy(F.col("term").alias("tag")).agg(
         F.count(F.lit(1)).alias("n_occurrences"), F.count_if("first").alias("n_rows")
     )
-    mark = F.when(F.col("n_rows") < rare_below, "rare").when(F.col("n_rows") > total * common_above, "common")
+    mark = F.when(F.col("n_rows") < rare_below, "rare").when(F.col("n_rows") > total * F.lit(Decimal(str(common_above))), "common")
     return counts.withColumn("mark", mark)
 
 

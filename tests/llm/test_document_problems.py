@@ -52,8 +52,9 @@ def test_passages_equal_brute_force_both_ways(spark, texts, items):
 def test_passages_are_cut_out(spark):
     docs = spark.createDataFrame([(1, f"before {ITEM} after", 0), (2, "clean", 0)], "doc_id long, text string, items int")
     tests = spark.createDataFrame([(7, ITEM)], "item_id long, text string")
-    rows = contamination.without_leaks(docs, tests).collect()
-    assert [(r.doc_id, r.clean_text, r["items"]) for r in rows] == [(1, "before  after", [7])]
+    for bound in (1000, 0):
+        rows = contamination.without_leaks(docs, tests, broadcast_chars=bound).collect()
+        assert [(r.doc_id, r.clean_text, r["items"]) for r in rows] == [(1, "before  after", [7])]
 
 
 def test_words_keep_letter_entities_together():
