@@ -58,11 +58,13 @@ def _index(spark: SparkSession, given: argparse.Namespace) -> int:
     else:
         keys = ingest.keys_from_json(lines, given.json, given.prefix, given.on_error)
         bad = ingest.parse_objects(lines, given.json).where(F.col("key").isNull()).limit(1).count()
+    keys, metrics = ingest.watched(keys)
     entries = ingest.build_entries(keys, given.ignore_duplicates)
     ingest.write_index(entries, given.index, given.tag_index, given.search_index)
     n = len(Database.open(spark, given.index))
     took = time.monotonic() - began
-    print(f"{n} entries in {took:.1f} s, {n / took:.0f} entries/s", file=sys.stderr)
+    read = {k: v or 0 for k, v in metrics.get.items()}
+    print(f"{n} entries in {took:.1f} s, {n / took:.0f} entries/s; read {read}", file=sys.stderr)
     if bad:
         print("some lines couldn't be indexed", file=sys.stderr)
     return int(bool(bad) and given.on_error == "stop")

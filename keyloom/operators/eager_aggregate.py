@@ -7,6 +7,7 @@ counts multiplied and sums scaled by the other side's count, and the products ro
 
 from __future__ import annotations
 
+from decimal import Decimal
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -84,4 +85,5 @@ def heavy_groups(sample: DataFrame, share: float = 0.05) -> DataFrame:
     total = sample.agg(F.count(F.lit(1)).alias("n")).scalar()
     names = F.when(F.col("field") == "directory", "path").when(F.col("field") == "tag", "tags")
     totals = group_totals(sample.select("path", "tags", "size")).where(F.col("field").isin("directory", "tag"))
-    return totals.where(F.col("n_rows") >= total * share).select(names.alias("field"), "value")
+    # As a decimal the bound is exact: a group of just that share counts.
+    return totals.where(F.col("n_rows") >= total * F.lit(Decimal(str(share)))).select(names.alias("field"), "value")

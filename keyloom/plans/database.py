@@ -10,8 +10,10 @@ from typing import Any
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
+from keyloom.functions.text import GRAM, graphemes, normalize
 from keyloom.model import COMMON_PREFIX, MAX_LIMIT, ListQuery, SearchFilter, TagFilter
 from keyloom.operators import listing, lookup, tag_index
+from keyloom.operators.gram_index import gram_candidates
 from keyloom.sources.ingest import IndexTables, manifest_of, open_index
 
 
@@ -106,6 +108,25 @@ class Database:
             items.append(item)
         return {"items": items, "next_cursor": None if following is None else listing.encode_cursor(following)}
 
+    def search(
+        self, term: str, prefix: str = "", shard: int | None = None, require_index: bool = False
+    ) -> DataFrame:
+        """Keys under a prefix that hold a term, in one shard or in all; in byte order.
+
+        Where a gram table exists, terms of three and more clusters look up candidates first.  With ``require_index``
+        shards without one contribute nothing; by default their keys are scanned.
+        """
+        query = ListQuery(prefix, search=SearchFilter((term,)))
+        entries = self._pruned(self.entries, prefix)
+        if shard is not None:
+            entries = entries.where(F.col("shard") == shard)
+        if require_index and self.grams is None:
+            entries = entries.where(F.lit(False))
+        if self.grams is not None and len(graphemes(normalize(term))) >= GRAM:
+            wanted = self.grams if shard is None else self.grams.where(F.col("shard") == shard)
+            entries = entries.join(gram_candidates(wanted, term), ["shard", "id"], "left_semi")
+        return listing.ordered(listing.list_entries(entries, None, query))
+
     def list_tags(self, prefix: str = "") -> DataFrame:
         """``tag, count`` ordered by the lower-cased tag; empty without tag index."""
         return self._tag_counts(prefix).orderBy("tag_lc").select("tag", "count")

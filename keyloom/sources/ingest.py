@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from keyloom.functions.text import search_forms
@@ -140,6 +140,19 @@ def _write(table: DataFrame, path: str, order: list[str]) -> None:
     sorted_rows.write.mode("overwrite").partitionBy("shard").option("compression", "zstd").parquet(path)
 
 
+def watched(keys: DataFrame, name: str = "ingest") -> tuple[DataFrame, Observation]:
+    """The keys, and counts and sizes that are filled in while they are first processed."""
+    metrics = Observation(name)
+    counted = keys.observe(
+        metrics,
+        F.count(F.lit(1)).alias("n_keys"),
+        F.count("payload").alias("n_payloads"),
+        F.sum(F.octet_length("key")).alias("key_bytes"),
+        F.sum(F.octet_length("payload")).alias("payload_bytes"),
+    )
+    return counted, metrics
+
+
 def write_index(entries: DataFrame, path: str, tag_field: str | None = None, search: bool = False) -> None:
     """Write ``shard, id, key, payload`` as an index; the manifest comes last and marks it as complete."""
     forms = search_forms(F.col("key"))

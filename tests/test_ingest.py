@@ -90,6 +90,11 @@ def test_written_index(spark, written, tmp_path):
     assert [(r["tag"], r["count"]) for r in db.list_tags().collect()] == [("Red", 2), ("x", 1)]
     assert [r.entry for r in db.list(search=SearchFilter(("uni",))).collect()] == ["b/Ünï"]
     assert db.grams.count() > 0
+    found = lambda *a, **k: [r.entry for r in db.search(*a, **k).collect()]
+    assert found("uni") == ["b/Ünï"] and found("a/1") == ["a/1"] and found("a/1", shard=1) == ["a/1"]
+    assert found("uni", shard=0) == [] == found("ünz") and found("1", prefix="a/", require_index=True) == ["a/1"]
+    bare = Database(db.entries)
+    assert bare.search("uni").count() == 1 and bare.search("uni", require_index=True).count() == 0
     ingest.compact(spark, written, str(tmp_path / "copy"))
     assert len(Database.open(spark, str(tmp_path / "copy"))) == 4
     first = Database.open(spark, written, limit=1)
