@@ -83,9 +83,14 @@ def gram_array(text: Column) -> Column:
         none = F.array().cast("array<string>")
         return F.when(F.size(parts) == 0, none).when(F.size(parts) < GRAM, short).otherwise(F.array_distinct(whole))
 
-    return bind(F.regexp_extract_all(text, F.lit(r"(?s)(\X)"), F.lit(1)), of)
+    # In plain text every character is a cluster, so its grams are cut without a regular expression.
+    windows = F.sequence(F.lit(1), F.greatest(F.length(text) - (GRAM - 1), F.lit(1)))
+    plain = F.array_distinct(F.transform(windows, lambda i: F.substr(text, i, F.lit(GRAM))))
+    clusters = bind(F.regexp_extract_all(text, F.lit(r"(?s)(\X)"), F.lit(1)), of)
+    return F.when(text.rlike(r"\A[\x20-\x7E]{3,}\z"), plain).otherwise(clusters)
 
 
 def key_grams(forms: Column) -> Column:
     """Grams that an entry is found by: those of its normal form and of its form without accents."""
-    return F.array_union(gram_array(forms["norm"]), gram_array(forms["strip"]))
+    both = F.array_union(gram_array(forms["norm"]), gram_array(forms["strip"]))
+    return F.when(forms["norm"] == forms["strip"], gram_array(forms["norm"])).otherwise(both)
