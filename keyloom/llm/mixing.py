@@ -37,6 +37,8 @@ ITERATIONS = 12
 #: Weight of the named source against the posterior in the least squares.
 HARD = 4.0
 BINS = 4096
+#: Largest shift of a rounding threshold.
+REACH = 16
 
 
 @lru_cache(4)
@@ -147,20 +149,24 @@ def _totals(members: DataFrame, rates: Rates) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _shifts(members: DataFrame, rates: Rates, goal: np.ndarray) -> np.ndarray:
-    """Per source, the shift of the rounding threshold that brings the whole repeats nearest to the goal."""
-    size = len(goal)
+    """Per source, the shift of the rounding threshold that brings the whole repeats nearest to the goal.
+
+    Shifts reach from -1 to the largest cap, at most REACH, so that a source whose goal takes its cap can get there.
+    """
+    size, reach = len(goal), int(min(max(rates.caps, default=1), REACH))
+    last = (1 + reach) * BINS
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bins = np.zeros((size, 2 * BINS + 1))  # tokens gained between shifts -1 and 1; last: total at shift -1
+        bins = np.zeros((size, last + 1))  # tokens gained from shift to shift; last: total at shift -1
         for batch in batches:
             at, tokens, _, rate = rates.of(batch)
             mark = rate + batch.column("u").to_numpy()
-            low = np.clip(np.floor(mark - 1.0), 0, rates.caps[at])
-            np.add.at(bins, (at, 2 * BINS), low * tokens)
-            for step in (0, 1):  # the shifts at which the repeats go up by one
-                gains = (np.floor(mark - 1.0) + step >= 0) & (np.floor(mark - 1.0) + step < rates.caps[at])
+            low = np.floor(mark - 1.0)
+            np.add.at(bins, (at, last), np.clip(low, 0, rates.caps[at]) * tokens)
+            for step in range(1 + reach):  # the shifts at which the repeats go up by one
+                gains = (low + step >= 0) & (low + step < rates.caps[at])
                 up = np.floor(mark) + step - mark
-                where = np.clip(((up + 1.0) * BINS).astype(np.int64), 0, 2 * BINS - 1)
+                where = np.clip(((up + 1.0) * BINS).astype(np.int64), 0, last - 1)
                 np.add.at(bins, (at[gains], where[gains]), tokens[gains])
         flat = bins.ravel()
         nonzero = np.flatnonzero(flat)
@@ -168,7 +174,7 @@ def _shifts(members: DataFrame, rates: Rates, goal: np.ndarray) -> np.ndarray:
 
     parts = members.mapInArrow(emit, "at long, n double").groupBy("at").agg(F.sum("n").alias("n"))
     rows = parts.toArrow()  # sources times bins at most
-    bins = np.zeros(size * (2 * BINS + 1))
+    bins = np.zeros(size * (last + 1))
     bins[rows["at"].to_numpy()] = rows["n"].to_numpy()
     bins = bins.reshape(size, -1)
     totals = bins[:, -1:] + np.concatenate([np.zeros((size, 1)), np.cumsum(bins[:, :-1], axis=1)], axis=1)
