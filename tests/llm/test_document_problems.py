@@ -129,6 +129,61 @@ def test_harmless(text):
     assert abuse.judge(text)[0] < abuse.THRESHOLD
 
 
+#: Texts that only a word of the pattern itself tells, not a symbol of an insult.
+WITHOUT_INSULTS = [
+    "She spread her legs", "He took her from behind", "Voy a matarte", "hay que matarlos", "Go jump off a cliff", "Send them all back",
+    "Verrecke", "Muerete", "Cierra la boca", "il faut les eliminer", "They should be thrown out, they must throw them all out",
+]
+
+
+@pytest.mark.parametrize("text", WITHOUT_INSULTS)
+def test_abusive_without_insults(text):
+    assert abuse.judge(text)[0] >= abuse.THRESHOLD
+
+
+def strings_of(nodes, rng):
+    """A string that the nodes of a parsed pattern match, save what surrounds it."""
+    out = ""
+    for op, value in nodes:
+        name = str(op)
+        if name == "LITERAL":
+            out += chr(value)
+        elif name == "IN":
+            kind, x = rng.choice(value)
+            out += chr(x) if str(kind) == "LITERAL" else {"CATEGORY_WORD": "q", "CATEGORY_NOT_SPACE": "q", "CATEGORY_DIGIT": "7"}[str(x)]
+        elif name == "SUBPATTERN":
+            out += strings_of(value[3], rng)
+        elif name == "BRANCH":
+            out += strings_of(rng.choice(value[1]), rng)
+        elif name == "MAX_REPEAT":
+            out += "".join(strings_of(value[2], rng) for _ in range(rng.randint(value[0], min(value[1], value[0] + 2))))
+        else:
+            assert name in ("AT", "ASSERT_NOT"), name
+    return out
+
+
+@pytest.mark.parametrize("pattern", [x for x, _ in abuse.CONTEXT] + [x for *_, x in abuse.PATTERNS], ids=lambda x: x.pattern[:40])
+def test_literals_are_needed(pattern):
+    rng, tree, matched = random.Random(1), abuse.re._parser.parse(pattern.pattern), 0
+    for _ in range(400):
+        text = strings_of(tree, rng)
+        if pattern.search(text):
+            matched += 1
+            assert any(x in text for x in abuse._needed(pattern.pattern)), text
+    assert matched > 20
+
+
+def test_judge_equals_the_bare_grammar(spark):
+    texts = ABUSIVE + HARMLESS + WITHOUT_INSULTS + [r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect() if r.text]
+    for text in texts:
+        worst = 0.0
+        for clause in abuse.clauses(text):
+            for pattern, replacement in abuse.CONTEXT:
+                clause = pattern.sub(replacement, clause)
+            worst = max(worst, sum(weight for _, weight, pattern in abuse.PATTERNS if pattern.search(clause)))
+        assert abuse.judge(text)[0] == round(worst, 3), text
+
+
 def test_scores_and_rates(spark):
     rows = [(1, "You idiot", "s"), (2, None, "s"), (3, "fine", None), (1, "You idiot", "s"), (4, "You fool " * 100_000, "s")]
     docs = spark.createDataFrame(rows, DOCS).withColumnRenamed("source", "source").selectExpr("*", "1 as score", "2 as kinds")
