@@ -321,6 +321,15 @@ _register(
     f"SELECT shard, id, key FROM entries WHERE {_PLAIN} AND contains(lower(key), 'back') "
     "AND contains(lower(key), 'json') AND NOT contains(lower(key), 'catalog')",
 )
+
+
+def search_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All keys that hold two terms and not a third."""
+    entries = table(spark, sf_dir, "entries")
+    return search_entries(entries, SearchFilter(("BACK", "json"), ("catalog",))).select("shard", "id", "key")
+
+
+_register("search_terms", search_terms)
 _search("search_one", SearchFilter(("Report",)), None)
 _search("search_multi", SearchFilter(("home", "plan")), None)
 _search("search_exclude", SearchFilter((), ("e",)), None)
@@ -342,12 +351,18 @@ def gram_counts_plain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grams.groupBy("gram").agg(F.count(F.lit(1)).alias("n_keys"))
 
 
+def gram_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many of all keys hold each gram."""
+    return gram_postings(spark, sf_dir).groupBy("gram").agg(F.count(F.lit(1)).alias("n_keys"))
+
+
 def gram_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entries that hold all grams of a term."""
     return gram_index.gram_candidates(gram_postings(spark, sf_dir), "catalog")
 
 
 _register("gram_postings", gram_postings)
+_register("gram_counts", gram_counts)
 _register("gram_candidates", gram_candidates)
 _register(
     "gram_counts_plain",
@@ -362,7 +377,7 @@ _PLAIN_PREFIX = "/opt/builds/"
 
 
 def composed_tag_search_group(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Prefix, tags, terms, a custom predicate and grouping in one plan."""
+    """Prefix, tags, terms, a custom predicate and grouping in one plan; the predicate keeps keys that SQL can follow."""
     query = ListQuery(
         _PLAIN_PREFIX,
         "/",
@@ -388,6 +403,18 @@ _register(
 )
 
 
+def composed_search_group(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prefix, tags, terms and grouping in one plan over all keys."""
+    query = ListQuery(
+        _PLAIN_PREFIX, "/", tags=TagFilter(("indexed",), ("shared",)), search=SearchFilter(("in",), ("script",))
+    )
+    db = database(spark, sf_dir)
+    return listing.list_entries(db.entries, db.tags, query)
+
+
+_register("composed_search_group", composed_search_group)
+
+
 def custom_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keep the entries whose ids another table names."""
     db = database(spark, sf_dir)

@@ -1,5 +1,7 @@
 """Substring search over keys: folding, accents, grapheme clusters, short terms."""
 
+from collections import Counter
+
 import pytest
 from conftest import tagged
 from hypothesis import given, settings
@@ -9,6 +11,7 @@ from pyspark.sql import functions as F
 from keyloom.functions import text
 from keyloom.model import SearchFilter, TagFilter
 from keyloom.operators.gram_index import build_grams, gram_candidates
+from keyloom.queries_index import QUERIES
 
 
 def names(db, include=(), exclude=(), **options):
@@ -79,6 +82,57 @@ def test_with_tags_and_groups(database):
     assert [(r.entry, r.child_count) for r in grouped] == [("docs/private/", 1), ("docs/public/", 2)]
 
 
+#: (key, tags) of two shards that share a key; most of them aren't plain.
+MIXED = [
+    [("/opt/builds/ａｐｐ/Main.JSON", ["indexed"]), ("/opt/builds/app/ínner", ["Indexed"]), ("/opt/builds/app/in", ["indexed", "shared"]),
+     ("/opt/builds/ﬁn", ["indexed"]), ("/opt/builds/scrípt/in", ["indexed"]), ("/opt/ﬁn/in", ["indexed"]), ("x", []),
+     ("/b/báck.json", []), ("/b/BACK.ｊｓｏｎ", []), ("/b/back.json", []), ("/b/back/cátalog.json", []), ("/b/bac.json", [])],
+    [("/opt/builds/é/ín", ["indexed"]), ("/opt/builds/é/i n", ["indexed"]), ("/opt/builds/é/plain", ["indexed"]), ("/opt/builds/app/ínner", ["indexed"]),
+     ("/b/bäck/ñ.json", []), ("/b/BÄCKUP.Json👋", [])],
+]
+
+
+@pytest.fixture(scope="module")
+def mixed(database, tmp_path_factory):
+    folder = str(tmp_path_factory.mktemp("mixed"))
+    db = database(*[[(key, tagged(*labels)) for key, labels in shard] for shard in MIXED])
+    db.entries.write.parquet(f"{folder}/entries.parquet")
+    db.tags.write.parquet(f"{folder}/tags.parquet")
+    return folder
+
+
+def lacks(key, term):
+    norm, q = text.normalize(key), text.normalize(term)
+    return q not in norm and text.strip_accents(q) not in text.strip_accents(norm)
+
+
+def test_query_of_terms_over_all_keys(spark, mixed):
+    want = sorted((n, k) for n, shard in enumerate(MIXED) for k, _ in shard if holds(k, "BACK") and holds(k, "json") and lacks(k, "catalog"))
+    found = QUERIES["search_terms"](spark, mixed).collect()
+    assert sorted((r.shard, r.key) for r in found) == want and sum(not k.isascii() for _, k in want) == 4
+
+
+def test_query_of_gram_counts_over_all_keys(spark, mixed):
+    norms = [text.normalize(k) for shard in MIXED for k, _ in shard]
+    want = Counter(g for x in norms for g in {*text.grams(x), *text.grams(text.strip_accents(x))})
+    assert {r.gram: r.n_keys for r in QUERIES["gram_counts"](spark, mixed).collect()} == want and want["x\0\0"] == 1
+
+
+def test_composed_query_over_all_keys(spark, mixed):
+    prefix, want = "/opt/builds/", {}
+    for n, shard in enumerate(MIXED):
+        for key, labels in shard:
+            labels = {x.lower() for x in labels}
+            if key.startswith(prefix) and "indexed" in labels and "shared" not in labels and holds(key, "in") and lacks(key, "script"):
+                head, slash, _ = key[len(prefix) :].partition("/")
+                entry = (prefix + head + slash, "CommonPrefix" if slash else "Key")
+                count, shards = want.get(entry, (0, []))
+                want[entry] = (count + 1, [*shards, n])
+    found = {(r.entry, r.kind): (r.child_count, r.shard) for r in QUERIES["composed_search_group"](spark, mixed).collect()}
+    assert found == {e: (n, None) if e[1] == "CommonPrefix" else (None, min(shards)) for e, (n, shards) in want.items()}
+    assert found["/opt/builds/app/", "CommonPrefix"] == (2, None) and len(found) == 4
+
+
 def test_grams():
     assert text.grams("hello") == ["hel", "ell", "llo"] and text.grams("aaaa") == ["aaa"]
     assert text.grams("ab") == ["ab\0"] and text.grams("") == [] and len(text.grams("hi👋bye")) == 4
