@@ -106,7 +106,7 @@ _MARKUP = re.compile(r"</?[A-Za-z][^<>]*>|<!--.*?-->|\[/?(?:[A-Za-z]+|\*)(?:=[^\
 _LINK = re.compile(r"\b(?:https?://|www\.)\S+")
 _SPACED = re.compile(r"(?<![^\W_])([^\W_])([ .\-_*·])([^\W_])(?:\2[^\W_])+(?![^\W_])")
 _CLAUSE = re.compile(r"[\r\n]+|[.!?;:…]+(?=\s|$)")
-_TOKEN = re.compile(r"[\w@$*#]+")
+_TOKEN = re.compile(r"[\w@$*#]+|,")
 _RUN = re.compile(r"(.)\1+")
 
 
@@ -177,13 +177,23 @@ def clauses(text: str) -> list[str]:
     text = _LINK.sub(" ", _letters(html.unescape(_MARKUP.sub(" ", text))))
     out = []
     for clause in _CLAUSE.split(_SPACED.sub(lambda m: m.group().replace(m.group(2), ""), text)):
-        tokens = [lookup(x) for x in _TOKEN.findall(clause)]
+        tokens = _joined([x if x == "," else lookup(x) for x in _TOKEN.findall(clause)])
         for start in range(0, max(1, len(tokens) - OVERLAP), WINDOW - OVERLAP):
             if tokens:
                 out.append(" ".join(tokens[start : start + WINDOW]))
     return out
 
 
+def _joined(tokens: list[str]) -> list[str]:
+    """The tokens without commas; a word of R whose comma comes before any insult reports none: it becomes R_."""
+    if "," in tokens and "R" in tokens:
+        for i, token in enumerate(tokens):
+            if token == "R":
+                after = next((x for x in tokens[i + 1 : i + 6] if x in (",", "N", "K", "Z", "D")), None)
+                tokens[i] = "R_" if after == "," else "R"
+    return [x for x in tokens if x != ","]
+
+
 _W = r"\S+ "
 #: Context transducers: (pattern, replacement), applied in order.
 CONTEXT = [
@@ -195,8 +205,11 @@ CONTEXT = [
         (r"\b(?:hijo|hija) de N\b", "N"),
         (r"\bwaste of (?:oxygen|space|air|V|life)\b", "N"),
         # Reported: "calling someone a N", "the word N", "N is an insult".
-        (rf"\bR (?:{_W}){{0,4}}(?:N|K|Z|D)\b", "reported"),
-        (r"\b(?:N|K|Z|D) (?:E|counts as|gets) (?:a |an )?R\b", "reported"),
+        # What is said to the second person is an insult, unless somebody else says it.
+        (r"\b(?:he|she|they|him|her|them|someone|somebody|anyone|anybody|nobody|people|who) (?:(?!I\b)\w+ ){0,2}R Y "
+         rf"(?:{_W}){{0,3}}(?:N|K|Z|D)\b", "reported"),
+        (rf"\bR (?:(?!Y\b){_W}){{0,4}}(?:N|K|Z|D)\b", "reported"),
+        (r"\b(?:N|K|Z|D) (?:E|counts as|gets) (?:a |an )?R_?\b", "reported"),
         # Remarks about oneself: "I was an N", "felt like an N", "stupid me".
         (rf"\b(?:I|I E|I felt|I feel|felt|feeling) (?:E )?(?:like |such |so |a |an |ein |un |une |the |A ){{0,4}}(?:N|K|A)\b(?! Y)",
          "self"),

@@ -141,6 +141,16 @@ def test_abusive_without_insults(text):
     assert abuse.judge(text)[0] >= abuse.THRESHOLD
 
 
+@pytest.mark.parametrize("text", ["As I said, you are an idiot", "I call you a moron", "Like the word says, what an idiot"])
+def test_insults_after_a_word_of_saying(text):
+    assert abuse.judge(text)[0] >= abuse.THRESHOLD
+
+
+@pytest.mark.parametrize("text", ["If someone calls you an idiot, tell a moderator", "Moron is an insult, mind you", "The words idiot, moron and the like"])
+def test_reported_insults(text):
+    assert abuse.judge(text)[0] < abuse.THRESHOLD
+
+
 def strings_of(nodes, rng):
     """A string that the nodes of a parsed pattern match, save what surrounds it."""
     out = ""
