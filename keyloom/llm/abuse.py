@@ -1,15 +1,16 @@
 """Abusive, hateful or sexual content (problem 8): a weighted finite-state pattern grammar.
 
-Four stages are composed for each clause of a text:
+Machines are composed for each clause of a text (``transducers``; the words and patterns are in ``abuse_grammar``):
 
 1. a disguise transducer undoes markup, look-alike letters, digits for letters, drawn-out, spaced-out and masked words;
-2. a lexical transducer writes a class symbol (upper case) for words of the lexicon and keeps all others;
-3. context transducers take the sting out of negated, reported, self-directed, technical and figurative uses;
-4. weighted clause patterns - insults, threats, wishes of harm, degraded groups, explicit sex - are matched, and their
-   weights added up.
+   composed with the lexicon it reads each word as weighted word classes;
+2. context rules for negation, reported speech, remarks about oneself, technical and figurative uses take the classes
+   off words that they defuse;
+3. weighted clause patterns - insults, threats, wishes of harm, degraded groups, explicit sex - name who is aimed at.
+   The weights of patterns that don't overlap add up along the best path.
 
 A clause counts, not a word: ``bastard`` in "a bastard file" adds nothing.  The score of a document is that of its
-worst clause; from 1.0 on it is taken for abusive.
+worst clause; from 1.0 on it is taken for abusive.  Whole clauses are read, however long they are.
 """
 
 from __future__ import annotations
@@ -24,396 +25,206 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from keyloom.llm import abuse_grammar as grammar
 from keyloom.llm.lookalikes import IGNORABLE, LIKE, TWINS
+from keyloom.llm.transducers import COMMA, Classes, Contexts, Disguise, Patterns, Reading, Symbols, parse
 
 #: Score from which a document counts as abusive.
 THRESHOLD = 1.0
-
-#: A clause longer than WINDOW words is matched in windows that share OVERLAP words, more than any pattern spans.
-WINDOW, OVERLAP = 64, 20
-
-#: The lexicon, by class symbol; words in lower case without accents.
-LEXICON = {
-    # Second person, first person, their possessives, copulas.
-    "Y": "you your yours yourself yourselves youre u ur ya du dich dir dein deine deinen euch tu te toi ton ta tes vous "
-    "ti eres usted tus ты тебя тебе",
-    "I": "i we ich wir je j nous yo ill im ive",
-    "M": "me my mine myself our us mich mir mein meine moi mon ma mes mi",
-    "E": "is are was were am be been being r re ist sind bin bist war est sont suis etes es son soy",
-    # Insulting nouns for persons; K: those that also name animals or things.
-    "N": "idiot idiots moron morons imbecile imbeciles cretin cretins halfwit halfwits dumbass dumbasses bastard bastards "
-    "scumbag scumbags loser losers asshole assholes arsehole bitch bitches whore whores slut sluts cunt cunts dickhead "
-    "prick twat wanker wankers retard retards dimwit nitwit numbskull dipshit shithead fuckface motherfucker douchebag "
-    "jackass dumbfuck pieceofshit pieceofgarbage lowlife degenerate pervert simpleton bonehead airhead "
-    "vollidiot vollidioten idioten penner drecksack drecksau arschloch hurensohn wichser missgeburt fotze schlampe "
-    "abschaum trottel depp spast mistkerl schwachkopf dummkopf versager nutte ordure connard connards connasse abruti "
-    "abrutis debile debiles salope salopes encule enculer batard raclure cretine pourriture minable inutil imbecil "
-    "imbeciles idiota idiotas desgraciado desgraciada gilipollas puta puto cabron cabrones pendejo pendejos escoria "
-    "estupido estupida subnormal zorra maricon stronzo coglione puttana bastardo cretino otario babaca klootzak "
-    "kurwa сука блядь мудак придурок дебил",
-    "K": "pig pigs parasite parasites rat animal clown cow dog snake worm maggot cockroach leech schwein hund sau porc "
-    "chien chienne cerdo cerda perro perra rata basura vieh ungeheuer dreck trash garbage dirtbag",
-    "A": "stupid worthless useless pathetic brainless braindead spineless disgusting filthy dumb moronic idiotic ugly "
-    "miserable retarded despicable revolting gutless clueless hirnlos hirnloser hirnlose dumm dummer dumme dreckiger "
-    "dreckige widerlich widerlicher wertlos wertloser minables asqueroso asquerosa maldito maldita inutile "
-    "sucio lousy rotten",
-    # Strong slurs, enough by themselves.
-    "Z": "nigger niggers faggot faggots kike kikes wetback wetbacks raghead ragheads untermensch untermenschen",
-    # Violent verbs and what they hurt.
-    "V": "break breaks smash smashes snap snaps crush crushes kill kills murder strangle stab shoot beat punch hurt slap "
-    "cut slit choke burn gut skin cripple bash rip knock drown hang execute shove slaughter rape torture schlag schlage "
-    "brech breche hau haue stech erschiess verprugel casser casse briser brise tuer tue frapper frappe peter cogner "
-    "defoncer eclater exploser romper partir matar reventar golpear rajar quebrar",
-    "B": "teeth legs leg knees knee kneecaps kneecap ribs rib neck jaw nose fingers finger skull face bones bone head "
-    "throat arms arm guts eyes hands spine ass arse balls zahne knochen beine nase fresse gesicht figure gueule "
-    "genoux jambes dents cara piernas dientes huesos boca",
-    # Groups of people, and what they are degraded to.
-    "G": "foreigner foreigners newcomer newcomers immigrant immigrants migrant migrants refugee refugees hillman hillmen "
-    "tarrow tarrowfolk velmari perrigan perrigans dunnish oskan women jews muslims blacks gays lesbians arabs gypsies "
-    "christians asians mexicans africans indians homosexuals trannies auslander fluchtlinge juden frauen etrangers "
-    "immigres juifs femmes extranjeros inmigrantes judios mujeres gitanos natives southerners northerners islanders",
-    "D": "vermin scum filth animals rats lice plague subhuman subhumans cancer thieves liars criminals cockroaches pest "
-    "roaches disease savages apes monkeys leeches maggots ungeziefer gesindel ratten parasiten abschaum ratas "
-    "ladrones plaga parasitos vermine parasites rats voleurs cafards",
-    # Explicit words; W: nudity, harmless by itself; F: coarse verbs; P: persons.
-    "X": "porn porno pornos nudes tits titties boobs horny blowjob blowjobs handjob pussy dildo cumshot cumshots gangbang "
-    "milf milfs threesome deepthroat creampie masturbate masturbating orgasm xxx orgy titten muschi schwanzlutscher "
-    "tetas follada hentai onlyfans camgirl camgirls",
-    "W": "naked nude topless undressed unclothed nackt nackte nackten nue nues nus desnuda desnudas desnudo nua nudo",
-    "F": "fuck fucks fucked fucking ficken fick ficke gefickt baiser follarte follar cogerte fottere",
-    "P": "girl girls woman housewife housewives wife wives amateurs amateur teens teen babes babe ladies chick "
-    "filles fille chicas chica frau moms singles",
-    # Verbs that report a word rather than use it.
-    "R": "call calls called calling say says said saying term word words phrase insult insults slur slurs quote quoted "
-    "quoting rule rules nannte nennen appeler traiter llamar",
-}
-
-_TO_PLAIN = {ord(x): y for x, y in (TWINS | LIKE).items()}
-_LEET = str.maketrans("01345789@$", "oieastbgas")
-_LEET_L = str.maketrans("01345789@$", "oleastbgas")
-_SYMBOL = {word: symbol for symbol, words in reversed(LEXICON.items()) for word in words.split()}
-#: Masked words are looked up by length and outer letters.
-_MASKABLE: dict[tuple[int, str, str], list[tuple[str, str]]] = {}
-for _word, _symbol in [*_SYMBOL.items(), ("piece of shit", "N"), ("piece of garbage", "N"), ("sex", "sex"), ("shit", "shit")]:
-    if _symbol in "NKAZXWFDB" or _symbol == _word:
-        _MASKABLE.setdefault((len(_word), _word[0], _word[-1]), []).append((_word, _symbol))
-for _found in _MASKABLE.values():  # where a mask fits several words, the coarser one is meant
-    _found.sort(key=lambda x: "NXWAKFD".find(x[1]) % 99)
-#: Ordinary words that would be read as drawn-out ones of the lexicon.
-_NOT_DRAWN_OUT = {"looser", "coop", "boot", "root", "asses", "beet", "buut"}
-
+#: Letters that digits and signs stand for, each at the cost of one arc.
+CODED = {
+    "0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "bg", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "€": "e",
+}
+INFLECTED = {"noun": grammar.NOUNS, "verb": grammar.VERBS, "endings": grammar.ENDINGS, "adjective": grammar.ADJECTIVES}
+CODE_COST, TWIN_COST = 0.02, 0.02
+#: Tokens whose readings are kept at most; beyond them the table starts anew.
+MOST_TOKENS = 500_000
+
+_TWINS = str.maketrans(LIKE | TWINS)
 _MARKUP = re.compile(r"</?[A-Za-z][^<>]*>|<!--.*?-->|\[/?(?:[A-Za-z]+|\*)(?:=[^\]\r\n]*)?\]", re.DOTALL)
 _LINK = re.compile(r"\b(?:https?://|www\.)\S+")
-_SPACED = re.compile(r"(?<![^\W_])([^\W_])([ .\-_*·])([^\W_])(?:\2[^\W_])+(?![^\W_])")
-_CLAUSE = re.compile(r"[\r\n]+|[.!?;:…]+(?=\s|$)")
-_TOKEN = re.compile(r"[\w@$*#]+|,")
-_RUN = re.compile(r"(.)\1+")
-
-
-@lru_cache(200_000)
-def lookup(token: str) -> str:
-    """The class symbol of a word, else the word itself, disguises undone."""
-    symbol = _SYMBOL.get(token)
-    if symbol:
-        return symbol
-    if not token.isascii():
-        plain = token.translate(_TO_PLAIN)
-        if plain.isascii():
-            return lookup(plain)
-        return token
-    if "*" in token or "#" in token:
-        return _unmasked(token.replace("#", "*"))
-    if token.isdigit():
-        return token
-    for table in (_LEET, _LEET_L):
-        plain = token.translate(table)
-        if plain != token and plain in _SYMBOL:
-            return _SYMBOL[plain]
-    plain = token.translate(_LEET)
-    found = _drawn_out(plain)
-    if found:
-        return found
-    if len(plain) > 4 and plain[0] in "ai" and _SYMBOL.get(plain[1:], "") in tuple("NKAXWF"):
-        return _SYMBOL[plain[1:]]  # a spaced-out word that took up the article before it
-    return plain if plain in _PHRASES or sum(x.isalpha() for x in token) * 2 >= len(token) else token
-
-
-def _drawn_out(token: str) -> str | None:
-    if token in _NOT_DRAWN_OUT or not _RUN.search(token):
-        return None
-    runs = [(len(m.group()), m.group(1)) for m in _RUN.finditer(token)]
-    long = any(n > 2 for n, _ in runs)
-    for keep in (2, 1):
-        plain = _RUN.sub(lambda m: m.group(1) * min(keep, len(m.group())), token)
-        if plain != token and (long or len(plain) > 3):
-            if _SYMBOL.get(plain, "-") in "NKAZXWFDVB":
-                return _SYMBOL[plain]
-            if plain in _PHRASES:
-                return plain
-    return None
-
-
-def _unmasked(token: str) -> str:
-    core = token.strip("*")
-    if "*" not in core:
-        return lookup(core) if core else token
-    pattern = re.compile(re.escape(core.translate(_LEET)).replace(r"\*", "."))
-    for word, symbol in _MASKABLE.get((len(core), core[0].translate(_LEET), core[-1].translate(_LEET)), ()):
-        if pattern.fullmatch(word):
-            return symbol
-    return core.replace("*", "")
-
-
-def _letters(text: str) -> str:
-    """Compatibility forms, small letters, no accents on Latin letters, nothing invisible."""
+#: Letters one by one, words with their signs, commas, clause ends.
+_TOKEN = re.compile(
+    r"[^\W_](?:[ .\-·][^\W_](?![\w@$*#€'’])){2,}|[\w@$*#€]+(?:![\w@$*#€]+)*|,|[\r\n]+|[.!?;:…]+(?=\s|$)|[–—]+"
+)
+_SHORT_FORMS = re.compile(r"(?<=[^\W_])(?:(n)['’]t|['’](re|ll|ve|m|d|s))\b")
+_LONG_FORMS = {"re": " are", "ll": " will", "ve": " have", "m": " am", "d": " would", "s": " is"}
+_SPACING = re.compile(r"[ .\-·]")
+_ACCENTS = re.compile("[̀-ͯ]+")
+
+
+def plain_letters(text: str) -> str:
+    """Compatibility forms, small letters, no accents, nothing invisible."""
     if text.isascii():
         return text.lower()
     text = IGNORABLE.sub("", unicodedata.normalize("NFKC", text)).casefold()
-    return unicodedata.normalize("NFC", "".join(x for x in unicodedata.normalize("NFD", text) if not "̀" <= x <= "ͯ"))
-
-
-def clauses(text: str) -> list[str]:
-    """Symbol strings of the clauses of a text: the disguise and lexical transducers."""
-    text = _LINK.sub(" ", _letters(html.unescape(_MARKUP.sub(" ", text))))
-    out = []
-    for clause in _CLAUSE.split(_SPACED.sub(lambda m: m.group().replace(m.group(2), ""), text)):
-        tokens = _joined([x if x == "," else lookup(x) for x in _TOKEN.findall(clause)])
-        for start in range(0, max(1, len(tokens) - OVERLAP), WINDOW - OVERLAP):
-            if tokens:
-                out.append(" ".join(tokens[start : start + WINDOW]))
-    return out
-
-
-def _joined(tokens: list[str]) -> list[str]:
-    """The tokens without commas; a word of R whose comma comes before any insult reports none: it becomes R_."""
-    if "," in tokens and "R" in tokens:
-        for i, token in enumerate(tokens):
-            if token == "R":
-                after = next((x for x in tokens[i + 1 : i + 6] if x in (",", "N", "K", "Z", "D")), None)
-                tokens[i] = "R_" if after == "," else "R"
-    return [x for x in tokens if x != ","]
-
-
-_W = r"\S+ "
-#: Context transducers: (pattern, replacement), applied in order.
-CONTEXT = [
-    (re.compile(p), r)
-    for p, r in [
-        (r"\b(?:piece|pieces) of (?:shit|K|crap|dirt|dreck|junk)\b", "N"),
-        (r"\b(?:stuck|haufen) (?:K|scheisse|dreck)\b", "N"),
-        (r"\b(?:pedazo|trozo) (?:de|E) (?:K|mierda)\b", "N"),
-        (r"\b(?:hijo|hija) de N\b", "N"),
-        (r"\bwaste of (?:oxygen|space|air|V|life)\b", "N"),
-        # Reported: "calling someone a N", "the word N", "N is an insult".
-        # What is said to the second person is an insult, unless somebody else says it.
-        (r"\b(?:he|she|they|him|her|them|someone|somebody|anyone|anybody|nobody|people|who) (?:(?!I\b)\w+ ){0,2}R Y "
-         rf"(?:{_W}){{0,3}}(?:N|K|Z|D)\b", "reported"),
-        (rf"\bR (?:(?!Y\b){_W}){{0,4}}(?:N|K|Z|D)\b", "reported"),
-        (r"\b(?:N|K|Z|D) (?:E|counts as|gets) (?:a |an )?R_?\b", "reported"),
-        # Remarks about oneself: "I was an N", "felt like an N", "stupid me".
-        (rf"\b(?:I|I E|I felt|I feel|felt|feeling) (?:E )?(?:like |such |so |a |an |ein |un |une |the |A ){{0,4}}(?:N|K|A)\b(?! Y)",
-         "self"),
-        (r"\bA M\b", "self"),
-        # Negated: "not an N", "never a N".
-        (r"\b(?:not|never|no|isnt|arent|kein|keine|pas|ningun) (?:a |an |the |un |une |ein |E ){0,2}(?:A )*(?:N|K|Z|D)\b", "negated"),
-        (r"\b(?:don|doesn|didn|wouldn|won|couldn|can) t (?:[\w]+ ){0,1}V\b", "negated"),
-        # Technical and figurative uses.
-        (r"\bN (?:file|files|sword|title|amber|rip|saw)\b", "tool"),
-        (r"\bA (?:terminal|terminals|waiter|phone|luck|question|questions|mistake|weather|idea)\b", "thing"),
-        (r"\bW (?:eye|mole|flame|bulb|wire|short|options?|lipstick|colou?r|truth|sword)\b", "plain"),
-        (r"\b(?:food|earth|gear|map|desk|ruin|cable) X\b", "plain"),
-        (r"\b(?:blue|great|coal|marsh|willow|crested) X\b", "bird"),
-        (r"\bX (?:goat|toad|lizard|at the feeder)\b", "plain"),
-        (r"\bV (?:Y|M) an? (?:message|mail|email|line|text|pm|dm|note|deal|slice|piece|hole)\b", "figure"),
-        (r"\b(?:to|would|could) V for\b", "figure"),
-        (r"\bV (?:Y|M) (?:losses|B into|B on|hair|grass|nails|costs?|bills?|post|record|score|time)\b", "figure"),
-    ]
-]
-
-#: Weighted clause patterns: (kind, weight, pattern).
-PATTERNS = [
-    (kind, weight, re.compile(p))
-    for kind, weight, p in [
-        # Insults: noun and target, noun and adjective, forms of address.
-        ("insult", 1.0, rf"\bY (?:(?!I\b){_W}){{0,4}}N\b"),
-        ("insult", 1.0, r"\bY (?:E )?(?:nothing but |just |such |so |a |an |ein |eine |un |une |the )*(?:A )+(?:N|K|person|human|creature|man|P|child|thing)\b"),
-        ("insult", 1.0, r"\bY E (?:nothing but |just |such |a |an |ein |eine |un |une |the )+(?:A )*K\b"),
-        ("insult", 1.0, r"\bA (?:\w+ )?N\b"),
-        ("insult", 0.7, r"\bA K\b"),
-        ("insult", 0.5, r"\b(?:what a|such an?|so ein|que) (?:A )*(?:N|K)\b"),
-        ("insult", 1.0, r"\bwhat an? (?:A )*N\b"),
-        ("insult", 1.0, r"\b(?:shut up|get lost|listen|go away|piss off|bugger off|hey|ferme la|halt Y maul) (?:Y )?(?:A )*(?:N|K)\b"),
-        ("insult", 1.0, r"\bonly an? (?:A )*(?:N|K) (?:would|could)\b"),
-        ("insult", 1.0, r"\b(?:ban|report|ignore|block|remove) th(?:is|at|ese|ose) (?:A )*(?:N|K)\b"),
-        ("insult", 1.0, r"\b(?:from|by|to) (?:M|the) (?:local|resident|usual|board) (?:A )*(?:N|K)\b"),
-        ("insult", 1.0, r"\bN like Y\b|\bgo (?:away )?N\b|\b(?:espece|bande) (?:d|de) (?:N|K)\b|\bN (?:de|of) (?:mierda|merde|shit)\b"),
-        ("insult", 0.6, r"^(?:oh |well |lol |wow |seriously |ok |please )*N\b|\bN$"),
-        ("insult", 0.6, r"\bA post from\b|\banother A (?:post|comment|answer|reply)\b"),
-        ("insult", 1.0, r"\bbrain (?:that|so|as) A\b|\bY (?:\w+ )?(?:have|has|got) no brain\b"),
-        ("insult", 0.6, r"\bsurprised Y can breathe\b|\bE Y born A\b"),
-        ("insult", 1.0, r"\bV it up Y\b|\bup Y (?:own )?(?:B|\d+)\b"),
-        ("insult", 1.0, r"\bY (?:really |all |just )?(?:disgust|sicken) M\b|\bY make M (?:sick|puke|vomit)\b|\bdas asco\b|\bY (?:E )?widerst mich\b"),
-        ("insult", 0.8, r"\bashamed of (?:such |having |Y )"),
-        ("insult", 1.0, r"\bverpiss Y\b|\bhalt (?:\w+ )?(?:die|deine|Y) (?:B|fresse|klappe|schnauze)\b|\bferme Y B\b|\bcierra la B\b|\bva Y faire\b|\bvete a la mierda\b"),
-        ("insult", 0.6, r"\bdegage\b|\bcallate\b|\bshut (?:the \w+ )?up\b|\bpersonne ne veut de Y\b|\bwill Y? ?hier keiner\b"),
-        ("insult", 1.0, r"\bF (?:off|Y)\b|\bY F (?:\w+ )?N\b|\bgo F Y\b"),
-        ("insult", 1.0, r"\bpauvre (?:N|K)\b|\bsale (?:N|K)\b"),
-        # Wishes of harm.
-        ("harm", 1.0, r"\bdrop dead\b|\bgo (?:and )?die\b|\bV Y(?:self)?$|\bkys\b|\bgo V Y\b|\bend Y life\b"),
-        ("harm", 1.0, r"\brot in (?:a ditch|hell|prison|jail|the ground)\b|\bgo to hell\b|\bV in hell\b|\bgo play in traffic\b"),
-        ("harm", 1.0, r"\bcrawl (?:back )?(?:in|into|under|to) Y\b|\b(?:go )?(?:crawl|slither) back\b"),
-        ("harm", 0.6, r"\bjump off an? (?:bridge|cliff|roof|building)\b|\bget lost\b|\bnobody asked Y\b"),
-        ("harm", 1.0, r"(?:^|\b(?:N|K|go|and|Y|then) )jump off an? (?:bridge|cliff|roof)\b"),
-        ("harm", 1.0, r"\bhope (?:that )?Y (?:\w+ ){0,4}(?:die|dies|dead|choke|V|suffer|rot|D|crash)\b"),
-        ("harm", 1.0, r"\b(?:nobody|no one) would miss Y\b|\bY (?:\w+ )?dropped dead\b"),
-        ("harm", 1.0, r"\bshould (?:have )?(?:drowned|aborted|strangled|swallowed|V) Y\b"),
-        ("harm", 1.0, r"\b(?:somebody|someone|they|one) (?:should|ought to|needs to|must) (?:\w+ ){0,2}(?:throw|push|V|put|run) (?:\w+ ){0,2}(?:Y|them all|the lot)\b"),
-        ("harm", 1.0, r"\bthrow Y (?:down|off|under|out of)\b"),
-        ("harm", 1.0, r"\bgeh sterben\b|\bstirb\b|\bverreck\w*\b|\bersaufen sollen\b|\bsollte man (?:\w+ )?(?:verprugeln|erschiessen|aufhangen|vergasen|V)\b"),
-        ("harm", 1.0, r"\b(?:va|allez|peux) crever\b|\bcreve\b|\baurait Y Y noyer\b|\bY noyer\b"),
-        ("harm", 1.0, r"\bojala (?:Y|os|se) (?:\w+ )?(?:mueras|mueran|atropelle|pudras|V|ahogues|caigas)\b|\bvete al infierno\b|\bmuerete\b"),
-        ("harm", 0.6, r"\bnadie Y va a llorar\b"),
-        # Threats: first person, violent verb, second person or body part.
-        ("threat", 1.0, rf"\bI (?:(?!V\b){_W}){{0,6}}V (?:(?:both|all|up|off|out|in|every one of|each of) )*Y (?:\w+ )?B\b"),
-        ("threat", 1.0, rf"\bI (?:will |would |ll |E going to |E gonna |gonna |want to |could |swear |going to |might )+(?:\w+ ){{0,3}}V Y(?: (?:up|down|dead|slowly|if|when|all|and|too|first|M|one)\b|$)"),
-        ("threat", 1.0, rf"\bI (?:will |ll |E going to |E gonna )(?:\w+ ){{0,2}}(?:find|hunt|come for|get) Y\b"),
-        ("threat", 1.0, r"\bY (?:\w+ ){1,4}will V(?: and Y\b|$| down\b)|\bV (?:Y|the|Y own) house down\b|\bY will E (?:inside|in) it\b"),
-        ("threat", 0.6, r"\bwatch Y back\b|\bI know where Y (?:live|keep|work|sleep|park)\b|\bI have Y address\b|\bnext time I\b"),
-        ("threat", 1.0, r"\bI (?:\w+ )?V Y (?:\w+ )?(?:B|die B)\b|\bI (?:vais |va )?Y (?:V|etrangler|egorger)\b"),
-        ("threat", 1.0, r"\bY voy a (?:V|dar una paliza|cortar)\b|\bvoy a (?:V|matar)(?:te)?\b"),
-        ("threat", 0.6, r"\bse donde vives\b|\bI weiss wo Y wohnst\b|\bI E sais ou Y habites\b"),
-        # Degraded groups.
-        ("group", 1.0, r"\bG (?:\w+ ){0,2}E (?:all |just |nothing but |a |an |the |born |des |une |una |eine |ein ){0,4}(?:D|K|A|N)\b"),
-        ("group", 0.8, r"\b(?:they|these people|E all|alle \w+|les \w+|los \w+|esos \w+|ces \w+|diese \w+) E (?:all |just |nothing but |a |an |born |des |une |una |eine ){0,3}(?:D|K)\b"),
-        ("group", 0.6, r"\b\w+ E (?:all |just |nothing but |a |an |born |des |une |una |eine ){0,3}D\b"),
-        ("group", 1.0, r"\bG D\b|\bD ruin\b|\bG E? ?(?:stink|steal|smell)\b"),
-        ("group", 0.6, r"\balways (?:E|will E)\b|\bD on this country\b|\bD and D\b|\bD (?:y|und|et) D\b"),
-        ("group", 1.0, r"\bshould (?:not|never) E allowed to (?:breed|vote|live|exist|reproduce)\b"),
-        ("group", 0.7, r"\bdriven out of (?:this|M|the)\b|\bout of M (?:schools?|country|town|city|streets?|neighbou?rhood)\b|\bstank and lied\b|\bnever hire an?\b"),
-        ("group", 0.7, r"\bno crime here (?:\w+ )?before\b|\bone more (?:G|\w+) family in M street\b"),
-        ("group", 1.0, r"\bV the (?:lot|whole lot)\b|\bV them all\b|\bon a (?:boat|ship|train) and (?:sink|V)\b|\bsend them all back\b"),
-        ("group", 1.0, r"\bgo back to (?:the kitchen|Y (?:own )?country|where Y came)\b|\bwhere Y kind belongs\b|\bback to the kitchen\b"),
-        ("group", 1.0, r"\bgehoren (?:\w+ )?(?:rausgeworfen|vergast|erschossen|aufgehangt|weg)\b|\b(?:D|pack) stinkt\b|\bstinkt und klaut\b|\bil faut les (?:chasser|V|virer|eliminer)\b|\bpuent et volent\b|\bque echarlos\b|\bhay que (?:echarlos|V|matarlos)\b"),
-        ("slur", 1.0, r"\bZ\b"),
-        # Explicit sex.
-        ("sex", 1.0, r"\bX\b"),
-        ("sex", 1.0, r"\bW (?:\w+ ){0,2}(?:P|G|photos?|clips?|pics?|pictures?|videos?|selfies?|cams?|bodies|fotos)\b|\b(?:P|photos?|fotos?|pics?|clips?|bilder) (?:\w+ )?W\b|\b(?:full|uncut|all) W\b"),
-        ("sex", 1.0, r"\b(?:strip|picturing|imagin\w+|want|see|dream of) (?:Y|her|him) (?:\w+ )?W\b|\bW on top of\b|\bW auf dem\b|\bstrip Y\b"),
-        ("sex", 1.0, r"\bF (?:Y|her|him|M|them|hard|harder|all night)\b|\bganze nacht F\b|\b(?:Y|quiero|will Y) F\b|\bF Y\b"),
-        ("sex", 1.0, r"\bspread (?:her|his|Y|M|those) B\b|\btook (?:her|him|M|Y) from behind\b"),
-        ("sex", 0.7, r"\bmoan(?:ing|ed|s)\b|\bW$|\bbegged (?:him|her|M) to\b|\bpushed (?:her|him) (?:\w+ ){0,5}W\b"),
-        ("sex", 1.0, r"\bsex (?:tonight|now|chat|cams?|with (?:Y|her|him|M|P))\b|\bwant sex\b|\bquieren sexo\b|\bsexo (?:esta noche|gratis)\b|\bsex heute\b|\bwet and willing\b"),
-        ("sex", 0.6, r"\bprivate pics\b|\bP in Y area\b|\bP near Y\b|\bgeile\b|\bhardcore\b|\bphoto set\b|\bprivate message\b"),
-        ("sex", 1.0, r"\bgeile (?:\w+ )?P\b|\bgeile W\b|\bW P\b|\bheisse P\b"),
-    ]
-]
-
-
-def _strings(nodes: list, most: int = 64) -> set[str] | None:
-    """All strings that a part of a parsed pattern matches; None if they are too many or not finite."""
-    out = {""}
-    for op, value in nodes:
-        name = str(op)
-        if name in ("AT", "ASSERT", "ASSERT_NOT"):
-            continue
-        if name == "LITERAL":
-            own = {chr(value)}
-        elif name == "IN" and all(str(kind) == "LITERAL" for kind, _ in value):
-            own = {chr(x) for _, x in value}
-        elif name == "SUBPATTERN":
-            own = _strings(value[3])
-        elif name == "BRANCH":
-            parts = [_strings(x) for x in value[1]]
-            own = None if None in parts else set().union(*parts)
-        elif name == "MAX_REPEAT" and value[1] == 1:
-            own = _strings(value[2])
-            own = own and own | ({""} if value[0] == 0 else set())
-        else:
-            own = None
-        if own is None or len(out) * len(own) > most:
+    return unicodedata.normalize("NFC", _ACCENTS.sub("", unicodedata.normalize("NFD", text)))
+
+
+def _long_form(match: re.Match) -> str:
+    return " not" if match.group(1) else _LONG_FORMS[match.group(2)]
+
+
+def tokens(text: str) -> list[str]:
+    """Words, commas and clause ends of a text, markup, links and short forms undone; spaced-out words are one."""
+    if "<" in text or "[" in text:
+        text = _MARKUP.sub(" ", text)
+    if "&" in text:
+        text = html.unescape(text)
+    text = plain_letters(text)
+    if "http" in text or "www." in text:
+        text = _LINK.sub(" ", text)
+    if "'" in text or "’" in text:
+        text = _SHORT_FORMS.sub(_long_form, text)
+    return _TOKEN.findall(text)
+
+
+class _Numbers(dict):
+    """Token to symbol, filled as tokens occur."""
+
+    def __init__(self, grammar: Grammar):
+        super().__init__()
+        self.grammar = grammar
+
+    def __missing__(self, token: str) -> int:
+        if len(self) >= MOST_TOKENS:
+            self.clear()
+        found = self[token] = self.grammar.number(token)
+        return found
+
+
+class Grammar:
+    """The compiled machines; ``judge`` composes them over a text."""
+
+    def __init__(self) -> None:
+        self.classes, self.symbols = Classes(grammar.LEXICON), Symbols()
+        trees = [(kind, weight, self._tree(text)) for kind, weight, text in grammar.PATTERNS]
+        rules = [(self._tree(left), self._bits(lost), self._tree(right)) for _, left, lost, right in grammar.CONTEXTS]
+        self.patterns, self.contexts = Patterns(trees, self.symbols), Contexts(rules, self.symbols)
+        self.words = self._lexicon()
+        self.ordinary = set(grammar.ORDINARY.split())
+        arcs = {x: tuple((y, CODE_COST) for y in ys) for x, ys in CODED.items()}
+        arcs |= {x: ((y, TWIN_COST),) for x, y in (LIKE | TWINS).items()}
+        coded = self._bits(" ".join(grammar.DISGUISED))
+        hidden = {w: bits for w, bits in self.words.items() if bits & coded and (len(w) > 2 or bits & self.classes.bits["YOU"])}
+        hidden |= {w: self.classes.bits[name] for w, name in grammar.MASKED_PHRASES.items()}
+        hidden |= {w: self.words[w] for w in map(plain_letters, self.classes.words) if len(w) > 3}
+        self.hidden = hidden
+        self.disguise = Disguise(hidden, arcs)
+        self.numbers = _Numbers(self)
+
+    def _tree(self, text: str) -> tuple:
+        return parse(text, self.classes, grammar.MACROS)
+
+    def _bits(self, names: str) -> int:
+        out = 0
+        for name in names.split():
+            out |= self.classes.bits[name]
+        return out
+
+    def _lexicon(self) -> dict[str, int]:
+        words: dict[str, int] = {}
+        for name, text in grammar.LEXICON.items():
+            for word in text.split():
+                kind = next((kind for kind, names in INFLECTED.items() if name in names), None)
+                for form in grammar.inflected(word, kind) if kind else [word]:
+                    form = plain_letters(form)
+                    words[form] = words.get(form, 0) | self.classes.bits[name]
+        for word, bit in self.classes.words.items():
+            words[plain_letters(word)] = words.get(plain_letters(word), 0) | bit
+        return words
+
+    def readings(self, token: str) -> tuple[Reading, ...]:
+        """What a token may be: the lexical transducer."""
+        known = self.words.get(token)
+        if known is not None:
+            return ((known, 0.0),)
+        twin = token.translate(_TWINS)
+        if twin in self.words:
+            return ((self.words[twin], 0.0),)
+        if token in self.ordinary or token.isdigit() or len(token) > 60:
+            return ((0, 0.0),)
+        for start, stop in ((token, token), (token.rstrip("!"), token.strip("*#!"))):
+            found = self._undisguised(start) or (self._undisguised(stop) if stop != start else None)
+            if found:
+                return found
+        return ((0, 0.0),)
+
+    def _undisguised(self, token: str) -> tuple[Reading, ...] | None:
+        if token in self.words:
+            return ((self.words[token], 0.0),)
+        if len(token) < 3:
+            return None
+        rank = self._rank
+        best = self.disguise.read(token, rank)
+        if best is None and len(token) > 4 and token[0] in "ai":
+            best = self.disguise.read(token[1:], rank)  # a spaced-out word that took up the article before it
+            if best is not None and best[0] not in self.hidden:
+                best = None
+        if best is None:
+            return None
+        word, weight = best
+        if sum(x.isalpha() for x in token) < 2 and len(token) > 3 and not any(x.isalpha() for x in token[:1]):
             return None
-        out = {x + y for x in out for y in own}
-    return out
-
-
-def _needed(pattern: str) -> tuple[str, ...]:
-    """Literals of which every match of a pattern holds one, read off its syntax tree: a rare and small such set."""
-
-    def fewest(sets: list[set[str]]) -> set[str]:
-        # Symbols of the lexicon stand for many words, but insults are rare; the second person and copulas are common.
-        weight = lambda c: 0.1 if c in " EIMY" else 3 if c in "NKAZXWFDV" else 2 if c.isupper() else 1
-        rare = lambda x: min(3, *(sum(map(weight, y)) for y in x), 3)
-        return max((x for x in sets if x and "" not in x), key=lambda x: (rare(x), -len(x)), default=set())
-
-    def best(nodes: list) -> set[str]:
-        found, held, text = [], {""}, ""
-        for node in nodes:
-            name, value = str(node[0]), node[1]
-            if name == "LITERAL":
-                text += chr(value)
-            elif name not in ("AT", "ASSERT", "ASSERT_NOT"):
-                found += [{text}, _strings([node]) or set()]
-                text = ""
-            own = _strings([node])
-            if own is None or len(held) * len(own) > 64:
-                found.append(held)
-                held = own or {""}
-            else:
-                held = {x + y for x in held for y in own}
-            if name == "SUBPATTERN":
-                found.append(best(value[3]))
-            elif name == "BRANCH" and all(parts := [best(x) for x in value[1]]):
-                found.append(set().union(*parts))
-            elif name == "MAX_REPEAT" and value[0]:
-                found.append(best(value[2]))
-        return fewest([*found, held, {text}])
-
-    literals = best(re._parser.parse(pattern))
-    if not literals:
-        raise ValueError(f"no literal is needed by {pattern}")
-    return tuple(sorted(x for x in literals if not any(y != x and y in x for y in literals)))
+        return ((self.hidden[word], weight),)
+
+    def _rank(self, word: str) -> int:
+        """Where a mask fits several words, the coarser one is meant."""
+        order = ("BADNOUN", "BADNOUNS", "NUDE", "LEWD", "FUCK", "PORN", "HOT", "PARTS", "TRASH", "SCUM", "BADADJ", "PEST", "BADANIMAL", "CRIM")
+        bits = self.hidden[word]
+        return next((i for i, name in enumerate(order) if bits & self.classes.bits[name]), len(order))
+
+    def number(self, token: str) -> int:
+        """The symbol of a token."""
+        first = token[0]
+        if first == ",":
+            return self.symbols.number(((COMMA, 0.0),))
+        if first in "\r\n.!?;:…–—":
+            return 0
+        if len(token) > 2 and token[1] in " .-·":
+            token = _SPACING.sub("", token)
+        elif len(token) > 4 and len(token) % 2 and set(token[1::2]) in ({"*"}, {"_"}):
+            token = token[::2]
+        return self.symbols.number(self.readings(token))
+
+    def judge(self, text: str) -> tuple[float, set[str]]:
+        """(score of the worst clause, kinds of the patterns on its best path)."""
+        symbols = [*map(self.numbers.__getitem__, tokens(text)), 0]
+        row = self.patterns.begin
+        total, begin, worst, why = 0.0, 0, 0.0, set()
+        for at, symbol in enumerate(symbols):
+            row, weight = row[symbol]
+            if weight:
+                total += weight
+            if not symbol:
+                # Context rules only take classes off, and no pattern asks for their absence: a clause that scores
+                # nothing without the rules scores nothing with them.
+                if total > worst:
+                    bare = self.contexts.apply(symbols[begin:at])
+                    score = self.patterns.score(bare)
+                    if score > worst:
+                        worst, why = score, self.patterns.found(bare)
+                total, begin = 0.0, at + 1
+        return round(worst, 3), why
+
+
+@lru_cache(1)
+def compiled() -> Grammar:
+    """The machines, compiled once per process."""
+    return Grammar()
 
 
 def judge(text: str | None) -> tuple[float, list[str]]:
-    """(score of the worst clause, kinds of the patterns matched there); (0, []) for a text without any."""
-    worst, why = 0.0, []
-    for clause in clauses(text or ""):
-        for pattern, replacement, needed in _CONTEXT:
-            for literal in needed:
-                if literal in clause:
-                    clause = pattern.sub(replacement, clause)
-                    break
-        possible = set()
-        for literal, numbers in _BY_LITERAL:
-            if literal in clause:
-                possible.update(numbers)
-        score, kinds = 0.0, []
-        for number in sorted(possible):
-            kind, weight, pattern = PATTERNS[number]
-            if pattern.search(clause):
-                score += weight
-                kinds.append(kind)
-        if score > worst:
-            worst, why = score, sorted(set(kinds))
-    return round(worst, 3), why
+    """(score of the worst clause, sorted kinds of the patterns matched there); (0, []) for a text without any."""
+    if not text:
+        return 0.0, []
+    score, kinds = compiled().judge(text)
+    return score, sorted(kinds)
 
 
 _JUDGED = T.StructType(
     [T.StructField("score", T.DoubleType()), T.StructField("kinds", T.ArrayType(T.StringType()))]
 )
-#: Words that stand for themselves in patterns; drawn-out forms of them are undone too.
-_PHRASES = {
-    word
-    for pattern in [x for x, _ in CONTEXT] + [x for *_, x in PATTERNS]
-    for word in re.findall(r"(?<![\\\w])[a-z]{3,}(?![\w+*])", pattern.pattern)
-}
-#: For each context transducer and pattern, literals of which every match holds at least one.
-_CONTEXT = [(pattern, replacement, _needed(pattern.pattern)) for pattern, replacement in CONTEXT]
-_NEEDED = [_needed(pattern.pattern) for *_, pattern in PATTERNS]
-#: Literal -> numbers of the patterns that need it.
-_BY_LITERAL = [
-    (literal, tuple(i for i, needed in enumerate(_NEEDED) if literal in needed)) for literal in sorted(set().union(*_NEEDED))
-]
 
 
 @F.arrow_udf(_JUDGED)

@@ -1,13 +1,16 @@
 """Leaking test passages, mixing and abusive content."""
 
+import os
 import random
+import sys
 
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from keyloom.llm import abuse, contamination, mixing
+from keyloom.llm import abuse, contamination, mixing, transducers
 
+sys.path.insert(0, os.path.dirname(__file__))
 ITEM = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen"
 DOCS = "doc_id long, text string, source string"
 
@@ -129,77 +132,111 @@ def test_harmless(text):
     assert abuse.judge(text)[0] < abuse.THRESHOLD
 
 
-#: Texts that only a word of the pattern itself tells, not a symbol of an insult.
-WITHOUT_INSULTS = [
-    "She spread her legs", "He took her from behind", "Voy a matarte", "hay que matarlos", "Go jump off a cliff", "Send them all back",
-    "Verrecke", "Muerete", "Cierra la boca", "il faut les eliminer", "They should be thrown out, they must throw them all out",
-]
-
-
-@pytest.mark.parametrize("text", WITHOUT_INSULTS)
-def test_abusive_without_insults(text):
-    assert abuse.judge(text)[0] >= abuse.THRESHOLD
-
-
-@pytest.mark.parametrize("text", ["As I said, you are an idiot", "I call you a moron", "Like the word says, what an idiot"])
-def test_insults_after_a_word_of_saying(text):
-    assert abuse.judge(text)[0] >= abuse.THRESHOLD
-
-
-@pytest.mark.parametrize("text", ["If someone calls you an idiot, tell a moderator", "Moron is an insult, mind you", "The words idiot, moron and the like"])
-def test_reported_insults(text):
-    assert abuse.judge(text)[0] < abuse.THRESHOLD
-
-
-def strings_of(nodes, rng):
-    """A string that the nodes of a parsed pattern match, save what surrounds it."""
-    out = ""
-    for op, value in nodes:
-        name = str(op)
-        if name == "LITERAL":
-            out += chr(value)
-        elif name == "IN":
-            kind, x = rng.choice(value)
-            out += chr(x) if str(kind) == "LITERAL" else {"CATEGORY_WORD": "q", "CATEGORY_NOT_SPACE": "q", "CATEGORY_DIGIT": "7"}[str(x)]
-        elif name == "SUBPATTERN":
-            out += strings_of(value[3], rng)
-        elif name == "BRANCH":
-            out += strings_of(rng.choice(value[1]), rng)
-        elif name == "MAX_REPEAT":
-            out += "".join(strings_of(value[2], rng) for _ in range(rng.randint(value[0], min(value[1], value[0] + 2))))
-        else:
-            assert name in ("AT", "ASSERT_NOT"), name
-    return out
-
-
-@pytest.mark.parametrize("pattern", [x for x, _ in abuse.CONTEXT] + [x for *_, x in abuse.PATTERNS], ids=lambda x: x.pattern[:40])
-def test_literals_are_needed(pattern):
-    rng, tree, matched = random.Random(1), abuse.re._parser.parse(pattern.pattern), 0
-    for _ in range(400):
-        text = strings_of(tree, rng)
-        if pattern.search(text):
-            matched += 1
-            assert any(x in text for x in abuse._needed(pattern.pattern)), text
-    assert matched > 20
-
-
-def test_judge_equals_the_bare_grammar(spark):
-    texts = ABUSIVE + HARMLESS + WITHOUT_INSULTS + [r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect() if r.text]
-    for text in texts:
-        worst = 0.0
-        for clause in abuse.clauses(text):
-            for pattern, replacement in abuse.CONTEXT:
-                clause = pattern.sub(replacement, clause)
-            worst = max(worst, sum(weight for _, weight, pattern in abuse.PATTERNS if pattern.search(clause)))
-        assert abuse.judge(text)[0] == round(worst, 3), text
+def sentences(kind):
+    import abuse_sentences
+
+    return {flag: texts.strip().splitlines() for flag, texts in getattr(abuse_sentences, kind).items()}
+
+
+@pytest.mark.parametrize("flag", [True, False])
+def test_sentences_that_were_looked_at(flag):
+    for text in sentences("DEVELOPED")[flag]:
+        assert (abuse.judge(text)[0] >= abuse.THRESHOLD) == flag, text
+
+
+def test_sentences_that_were_held_out():
+    texts = sentences("HELD_OUT")
+    found = {flag: sum(abuse.judge(x)[0] >= abuse.THRESHOLD for x in texts[flag]) for flag in texts}
+    assert len(texts[True]) + len(texts[False]) >= 200
+    assert found[True] / len(texts[True]) > 0.88 and found[True] / (found[True] + found[False]) > 0.93
+
+
+@pytest.mark.parametrize("before", [0, 44, 55, 60, 63, 500])
+def test_clauses_are_read_whole(before):
+    harmless = "we could beat you at chess on a quiet sunday afternoon"
+    around = " ".join(["word"] * before)
+    assert abuse.judge(f"{around} {harmless} {around}")[0] < abuse.THRESHOLD
+    assert abuse.judge(f"{around} you are an idiot {around}")[0] >= abuse.THRESHOLD
+
+
+def ends_of(tree, words, start):
+    """Brute force: {end: weight} of the ways in which a tree matches the words from a place on."""
+    if tree[0] == "arc":
+        ok = start < len(words) and words[start] & tree[1] == tree[1] and not words[start] & tree[2]
+        return {start + 1: tree[3]} if ok else {}
+    if tree[0] == "or":
+        found = {}
+        for part in tree[1]:
+            for end, weight in ends_of(part, words, start).items():
+                found[end] = max(weight, found.get(end, -1e9))
+        return found
+    parts = tree[1] if tree[0] == "cat" else [tree[1]] * (len(words) if tree[3] is None else tree[3])
+    at, out = {start: 0.0}, {}
+    if tree[0] == "rep" and tree[2] == 0:
+        out = dict(at)
+    for i, part in enumerate(parts):
+        after = {}
+        for place, weight in at.items():
+            for end, gain in ends_of(part, words, place).items():
+                after[end] = max(after.get(end, -1e9), weight + gain)
+        at = after
+        if tree[0] == "rep" and i + 1 >= tree[2]:
+            for end, weight in at.items():
+                out[end] = max(out.get(end, -1e9), weight)
+    return at if tree[0] == "cat" else out
+
+
+def best_path(patterns, words):
+    best = [0.0] * (len(words) + 1)
+    for start in range(len(words)):
+        best[start + 1] = max(best[start + 1], best[start])
+        for weight, tree in patterns:
+            for end, gain in ends_of(tree, words, start).items():
+                best[end] = max(best[end], best[start] + weight + gain)
+    return best[-1]
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.sampled_from("ABCw,"), max_size=9), st.randoms(use_true_random=False))
+def test_composed_machine_equals_brute_force(letters, rng):
+    classes, symbols = transducers.Classes("ABC"), transducers.Symbols()
+    pieces = ["A", "B", "C", ".", "!A", "A!B", "w", "COMMA", "~", "( A | B C )", "B/0.3", ".{0,2}", "A*", "( A B )+", "C?", "$"]
+    texts = ["A " + " ".join(rng.choices(pieces, k=rng.randint(1, 3))) for _ in range(3)]
+    patterns = [(rng.choice([0.5, 1.0]), transducers.parse(x, classes, {})) for x in texts]
+    bits = {**classes.bits, "w": classes.of_word("w"), ",": transducers.COMMA}
+    words = [bits[x] for x in letters]
+    machine = transducers.Patterns([("k", w, t) for w, t in patterns], symbols)
+    numbers = [symbols.number(((x, 0.0),)) for x in words]
+    assert machine.score(numbers) == pytest.approx(best_path(patterns, [*words, transducers.EDGE]), abs=0.01), texts
+    assert bool(machine.found(numbers)) == (machine.score(numbers) > 0)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.sampled_from("ABC"), max_size=8), st.sampled_from(["", "A", "B .{0,1}", "^"]), st.sampled_from(["", "C", ". A", "$"]))
+def test_contexts_equal_brute_force(letters, left, right):
+    classes, symbols = transducers.Classes("ABC"), transducers.Symbols()
+    before, after = (transducers.parse(x, classes, {}) for x in (left, right))
+    words = [transducers.EDGE, *(classes.bits[x] for x in letters), transducers.EDGE]
+    rules = transducers.Contexts([(before, classes.bits["A"], after)], symbols)
+    out = rules.apply([symbols.number(((x, 0.0),)) for x in words[1:-1]])
+    for i, symbol in enumerate(out, 1):
+        held = any(i in ends_of(before, words, j) for j in range(i + 1)) and ends_of(after, words, i + 1)
+        assert symbols.readings[symbol][0][0] == (words[i] & ~classes.bits["A"] if held else words[i]), (i, left, right)
+
+
+def test_context_rules_only_lower_scores():
+    machine = abuse.compiled()
+    lost = machine._bits(" ".join(names for _, _, names, _ in abuse.grammar.CONTEXTS))
+    # A pattern that excludes a class which rules take off could match more with the rules than without.
+    assert not any(transducers.forbids(machine._tree(text)) & lost for *_, text in abuse.grammar.PATTERNS)
 
 
 def test_scores_and_rates(spark):
     rows = [(1, "You idiot", "s"), (2, None, "s"), (3, "fine", None), (1, "You idiot", "s"), (4, "You fool " * 100_000, "s")]
     docs = spark.createDataFrame(rows, DOCS).withColumnRenamed("source", "source").selectExpr("*", "1 as score", "2 as kinds")
-    assert [(r.doc_id, r.score >= 1) for r in abuse.scores(docs).collect()] == [(1, True), (2, False), (3, False), (1, True), (4, False)]
+    assert [(r.doc_id, r.score >= 1) for r in abuse.scores(docs).collect()] == [(1, True), (2, False), (3, False), (1, True), (4, True)]
     rates = {r.source: (r.n_documents, r.n_abusive) for r in abuse.rates(docs).collect()}
-    assert rates == {"s": (4, 2), None: (1, 0)}
+    assert rates == {"s": (4, 3), None: (1, 0)}
     assert abuse.scores(docs.where("false")).count() == abuse.rates(docs.where("false")).count() == 0
 
 
