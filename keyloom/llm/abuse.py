@@ -44,8 +44,10 @@ _TWINS = str.maketrans(LIKE | TWINS)
 _MARKUP = re.compile(r"</?[A-Za-z][^<>]*>|<!--.*?-->|\[/?(?:[A-Za-z]+|\*)(?:=[^\]\r\n]*)?\]", re.DOTALL)
 _LINK = re.compile(r"\b(?:https?://|www\.)\S+")
 #: Letters one by one, words with their signs, commas, clause ends.
+_SINGLE = r"[^\W_](?![\w@$*#€'’])"
 _TOKEN = re.compile(
-    r"[^\W_](?:[ .\-·][^\W_](?![\w@$*#€'’])){2,}|[\w@$*#€]+(?:![\w@$*#€]+)*|,|[\r\n]+|[.!?;:…]+(?=\s|$)|[–—]+"
+    r"[^\W_](?:" + "|".join(rf"(?:{sign}{_SINGLE}){{2,}}" for sign in (" ", r"\.", "-", "·")) + ")"
+    r"|[\w@$*#€]+(?:![\w@$*#€]+)*|,|[\r\n]+|[.!?;:…]+(?=\s|$)|[–—]+"
 )
 _SHORT_FORMS = re.compile(r"(?<=[^\W_])(?:(n)['’]t|['’](re|ll|ve|m|d|s))\b")
 _LONG_FORMS = {"re": " are", "ll": " will", "ve": " have", "m": " am", "d": " would", "s": " is"}
@@ -142,6 +144,9 @@ class Grammar:
         twin = token.translate(_TWINS)
         if twin in self.words:
             return ((self.words[twin], 0.0),)
+        short = "".join(CODED.get(x, x)[0] for x in token)  # for words that aren't worth a disguise by themselves
+        if len(token) < 4 and short in self.words and not token.isdigit():
+            return ((self.words[short], -CODE_COST),)
         if token in self.ordinary or token.isdigit() or len(token) > 60:
             return ((0, 0.0),)
         for start, stop in ((token, token), (token.rstrip("!"), token.strip("*#!"))):
@@ -183,7 +188,7 @@ class Grammar:
             return 0
         if len(token) > 2 and token[1] in " .-·":
             token = _SPACING.sub("", token)
-        elif len(token) > 4 and len(token) % 2 and set(token[1::2]) in ({"*"}, {"_"}):
+        elif len(token) > 4 and token[::2].isalnum() and set(token[1::2]) in ({"*"}, {"_"}):
             token = token[::2]
         return self.symbols.number(self.readings(token))
 
