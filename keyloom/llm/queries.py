@@ -74,8 +74,9 @@ def p7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Actual share of each source."""
-    return mixing.shares(p7_mix(spark, sf_dir), table(spark, sf_dir, "mix_targets"))
+    """Actual share of each source, by name and by posterior."""
+    targets = table(spark, sf_dir, "mix_targets")
+    return mixing.shares(mixing.fit_mix(table(spark, sf_dir, "documents"), targets), targets)
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
