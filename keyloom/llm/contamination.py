@@ -1,17 +1,19 @@
 """Evaluation texts leaking into training text (problem 6).
 
-The n-grams of the normalised test words form a hash set that is broadcast; each document's windows are looked up
-where the document was read, hits are verified word by word, and runs of hits become spans that can be removed.  A
-test set whose text exceeds ``broadcast_chars`` isn't broadcast: windows then meet test n-grams in a shuffled join.
+The 12-word n-grams of the normalised test words form a hash set that is broadcast: sorted 64-bit hashes with the place of
+each n-gram.  Each document's windows are hashed and looked up where the document was read, a batch at once; hits are
+verified word by word, and runs of hits become spans that can be removed.  A test set whose text exceeds ``block_chars``
+is broadcast in blocks of whole items, one pass over the documents for each, which finds the same passages.
 """
 
 from __future__ import annotations
 
-import hashlib
 import html
+import re
 import unicodedata
-from collections.abc import Iterator
+from functools import reduce
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -20,8 +22,8 @@ from pyspark.sql import types as T
 
 #: A passage leaks if so many consecutive words are shared.
 WORDS = 12
-#: Largest test set, in characters, whose n-grams are broadcast.
-BROADCAST_CHARS = 20_000_000
+#: Largest test text, in characters, whose n-grams are broadcast at once; measured, 25 million make an index of 66 MB.
+BLOCK_CHARS = 20_000_000
 
 _SCAN = regex.compile(
     r"(?P<markup></?[A-Za-z][^<>]*>|<!--.*?-->|\[/?(?:[A-Za-z]+|\*)(?:=[^\]\r\n]*)?\])"
@@ -64,36 +66,104 @@ def words(text: str) -> tuple[list[str], list[tuple[int, int]]]:
     return found, places
 
 
+_PLAIN_WORD = re.compile("[a-z0-9]+")
+_PLAIN_MARKUP = re.compile(r"</?[A-Za-z][^<>]*>|<!--.*?-->|\[/?(?:[A-Za-z]+|\*)(?:=[^\]\r\n]*)?\]", re.DOTALL)
+
+
+def bare_words(text: str) -> list[str]:
+    """The words alone; the same as ``words(text)[0]``, with a short way for plain text."""
+    if not text.isascii() or "&" in text:
+        return words(text)[0]
+    if "<" in text or "[" in text:
+        text = _PLAIN_MARKUP.sub(" ", text)
+    return _PLAIN_WORD.findall(text.lower())
+
+
+_PRIME = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _window_hashes(ids: np.ndarray, n: int) -> np.ndarray:
+    """A 64-bit hash of every window of ``n`` word numbers."""
+    mixed = (ids.astype(np.uint64) + np.uint64(1)) * _PRIME
+    mixed ^= mixed >> np.uint64(29)
+    size = len(ids) - n + 1
+    out = np.zeros(max(size, 0), dtype=np.uint64)
+    for i in range(n if size > 0 else 0):
+        out = out * np.uint64(0x100000001B3) + mixed[i : i + size]
+    return out
+
+
 class TestIndex:
-    """Hash set of the n-grams of test items; ``spans`` finds the passages of a text that stand in an item."""
+    """Hash set of the n-grams of test items; ``spans`` finds the passages of texts that stand in an item.
+
+    Held are the number of every test word, the items' words as numbers, one after the other and parted by -1, and the
+    sorted hashes of their windows with the place of each.
+    """
 
     __test__ = False
 
     def __init__(self, items: list[tuple[int, str]], n: int = WORDS):
         self.n = n
-        self.grams: dict[tuple[str, ...], list[int]] = {}
-        for item_id, text in items:
-            tokens = words(text)[0]
-            for i in range(len(tokens) - n + 1):
-                owners = self.grams.setdefault(tuple(tokens[i : i + n]), [])
-                if item_id not in owners:
-                    owners.append(item_id)
-        self.ends = {(gram[0], gram[-1]) for gram in self.grams}
+        self.numbers: dict[str, int] = {}
+        parts, owners = [np.full(1, -1)], [np.full(1, -1)]
+        for i, (_, text) in enumerate(items):
+            ids = [self.numbers.setdefault(x, len(self.numbers)) for x in bare_words(text)]
+            parts.append(np.array([*ids, -1]))
+            owners.append(np.full(len(ids) + 1, i))
+        self.items = np.array([x for x, _ in items], dtype=np.int64)
+        self.words = np.concatenate(parts).astype(np.int32)
+        self.owners = np.concatenate(owners).astype(np.int32)
+        hashes, places = self._windows(self.words)
+        order = np.argsort(hashes, kind="stable")
+        self.hashes, self.places = hashes[order], places[order].astype(np.int32)
+
+    def _windows(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Hash and place of the windows without a word that no item holds."""
+        if len(ids) < self.n:
+            return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        known = np.concatenate([[0], np.cumsum(ids >= 0)])
+        places = np.flatnonzero(known[self.n :] - known[: -self.n] == self.n)
+        return _window_hashes(ids, self.n)[places], places
+
+    def hits(self, texts: list[list[str]]) -> list[list[tuple[int, int]]]:
+        """For each text, given as words, the (window, place in the test words) where all n words are the same."""
+        get, found = self.numbers.get, [[] for _ in texts]
+        flat, starts = [], []
+        for tokens in texts:
+            starts.append(len(flat))
+            flat.extend([get(x, -1) for x in tokens])
+            flat.append(-1)
+        ids = np.array(flat, dtype=np.int64)
+        hashes, places = self._windows(ids)
+        left, right = np.searchsorted(self.hashes, hashes, "left"), np.searchsorted(self.hashes, hashes, "right")
+        texts_of = np.searchsorted(np.array(starts), places, "right") - 1
+        for i in np.flatnonzero(right > left):
+            window = ids[places[i] : places[i] + self.n]
+            for place in self.places[left[i] : right[i]].tolist():
+                if (self.words[place : place + self.n] == window).all():
+                    text = texts_of[i]
+                    found[text].append((int(places[i]) - starts[text], place))
+        return found
+
+    def spans_of(self, texts: list[str]) -> list[list[tuple[int, int, int, int]]]:
+        """For each text (item_id, start, end, number of words) of every maximal run of shared windows, in code points."""
+        n, out = self.n, []
+        for text, hits in zip(texts, self.hits([bare_words(x) for x in texts])):
+            last: dict[int, list[int]] = {}
+            runs = []
+            for at, place in hits:
+                item = int(self.owners[place])
+                if item in last and last[item][1] >= at - 1:
+                    last[item][1] = at
+                else:
+                    last[item] = [at, at]
+                    runs.append((item, last[item]))
+            places = words(text)[1] if runs else []
+            out.append([(int(self.items[k]), places[a][0], places[b + n - 1][1], b + n - a) for k, (a, b) in runs])
+        return out
 
     def spans(self, text: str) -> list[tuple[int, int, int, int]]:
-        """(item_id, start, end, number of words) of every maximal run of shared windows; offsets in code points."""
-        tokens, places = words(text)
-        n, ends, grams = self.n, self.ends, self.grams
-        last, out = {}, []
-        for i, pair in enumerate(zip(tokens, tokens[n - 1 :])):
-            if pair in ends:
-                for item_id in grams.get(tuple(tokens[i : i + n]), ()):
-                    if item_id in last and last[item_id][1] == i - 1:
-                        last[item_id][1] = i
-                    else:
-                        last[item_id] = [i, i]
-                        out.append((item_id, last[item_id]))
-        return [(k, places[a][0], places[b + n - 1][1], b + n - a) for k, (a, b) in out]
+        return self.spans_of([text])[0]
 
 
 _SPAN_TYPE = pa.list_(
@@ -102,67 +172,52 @@ _SPAN_TYPE = pa.list_(
 _SPAN_SCHEMA = "array<struct<item_id:bigint,start:bigint,end:bigint,n_words:bigint>>"
 
 
-def _small(items: DataFrame, most: int) -> bool:
-    """Does the text of all items stay within ``most`` characters?"""
-    return (items.agg(F.sum(F.length("text")).alias("n")).first().n or 0) <= most
-
+def _blocks(items: DataFrame, most: int, n: int) -> list[TestIndex]:
+    """Indexes of the items, each made of whole items of about ``most`` characters in all."""
+    total = items.agg(F.sum(F.length("text")).alias("n")).first().n or 0
+    count = max(1, -(-2 * total // most)) if total > most else 1
+    found = []
+    for block in range(count):
+        part = items if count == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(count)) == block)
+        rows = part.toArrow()  # about half of ``most`` characters
+        found.append(TestIndex(list(zip(rows["item_id"].to_pylist(), rows["text"].to_pylist())), n))
+    return found
 
-def leaks(
-    documents: DataFrame, items: DataFrame, n: int = WORDS, broadcast_chars: int = BROADCAST_CHARS
-) -> DataFrame:
-    """``doc_id, item_id, start, end, n_words`` of every passage of ``items`` in ``documents``.
 
-    A passage is a maximal run of windows of ``n`` words that the item holds.  Documents and items with a null text or
-    fewer words, and items with a null id, have none.  Repeated documents come out repeated; items with equal text are
-    all reported.  Empty tables give an empty result.
-    """
-    texts = documents.where(F.col("text").isNotNull()).select("doc_id", "text")
+def _finder(documents: DataFrame, items: DataFrame, n: int, block_chars: int) -> list:
+    """For each block of items a function of a text column that gives its passages."""
     known = items.where(F.col("text").isNotNull() & F.col("item_id").isNotNull()).select(
         F.col("item_id").cast("long"), "text"
     )
-    if not _small(known, broadcast_chars):
-        return _leaks_by_join(texts, known, n)
-    rows = known.toArrow()
-    index = TestIndex(list(zip(rows["item_id"].to_pylist(), rows["text"].to_pylist())), n)
-    shared = documents.sparkSession.sparkContext.broadcast(index)
 
-    @F.arrow_udf(_SPAN_SCHEMA)
-    def spans(batch: pa.Array) -> pa.Array:
-        find = shared.value.spans
-        names = ("item_id", "start", "end", "n_words")
-        return pa.array([[dict(zip(names, x)) for x in find(t)] for t in batch.to_pylist()], type=_SPAN_TYPE)
+    def of(index: TestIndex):
+        shared = documents.sparkSession.sparkContext.broadcast(index)
 
-    return texts.select("doc_id", F.explode(spans("text")).alias("s")).select("doc_id", "s.*")
+        @F.arrow_udf(_SPAN_SCHEMA)
+        def spans(batch: pa.Array) -> pa.Array:
+            texts = batch.to_pylist()
+            found = iter(shared.value.spans_of([x for x in texts if x is not None]))
+            names = ("item_id", "start", "end", "n_words")
+            return pa.array([[] if t is None else [dict(zip(names, x)) for x in next(found)] for t in texts], type=_SPAN_TYPE)
 
+        return spans
+
+    return [of(index) for index in _blocks(known, block_chars, n)]
 
-def _leaks_by_join(texts: DataFrame, items: DataFrame, n: int) -> DataFrame:
-    """The same for any number of items: windows of both sides meet by their 128-bit digest."""
-    schema = pa.schema(
-        [("id", pa.int64()), ("at", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("gram", pa.binary())]
-    )
 
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                tokens, places = words(text)
-                rows = [
-                    (key, i, places[i][0], places[i + n - 1][1],
-                     hashlib.blake2b("\0".join(tokens[i : i + n]).encode(), digest_size=16).digest())
-                    for i in range(len(tokens) - n + 1)
-                ]
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(list(c)) for c in zip(*rows)], schema=schema)
-
-    ddl = "id long, at long, start long, end long, gram binary"
-    windows = texts.select(F.col("doc_id").cast("long"), "text").mapInArrow(emit, ddl)
-    grams = items.mapInArrow(emit, ddl).select(F.col("id").alias("item_id"), "gram").distinct()
-    hits = windows.join(grams, "gram").distinct()
-    # Consecutive windows share ``at - rank``; ranks are taken within one document and item only.
-    rank = F.expr("at - row_number() OVER (PARTITION BY id, item_id ORDER BY at)").alias("run")
-    runs = hits.select("id", "item_id", "at", "start", "end", rank)
-    return runs.groupBy(F.col("id").alias("doc_id"), "item_id", "run").agg(
-        F.min("start").alias("start"), F.max("end").alias("end"), (F.count(F.lit(1)) + n - 1).alias("n_words")
-    ).drop("run")
+def leaks(documents: DataFrame, items: DataFrame, n: int = WORDS, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """``doc_id, item_id, start, end, n_words`` of every passage of ``items`` in ``documents``.
+
+    A passage is a maximal run of windows of ``n`` words that the item holds.  Documents and items with a null text or
+    fewer words, and items with a null id, have none.  Repeated documents come out repeated, also under equal or null
+    ids; so do items that occur twice, and items with equal text are all reported.  Empty tables give an empty result.
+    """
+    texts = documents.where(F.col("text").isNotNull()).select("doc_id", "text")
+    parts = [
+        texts.select("doc_id", F.explode(spans("text")).alias("s")).select("doc_id", "s.*")
+        for spans in _finder(documents, items, n, block_chars)
+    ]
+    return reduce(DataFrame.unionByName, parts)
 
 
 _CLEANED = T.StructType(
@@ -174,6 +229,9 @@ def _cut(texts: pa.Array, spans: pa.Array) -> pa.Array:
     """Texts without their spans, and the items that the spans belong to."""
     out = []
     for text, found in zip(texts.to_pylist(), spans.to_pylist()):
+        if text is None or not found:
+            out.append({"clean_text": text, "items": []})
+            continue
         kept, at = [], 0
         for span in sorted(found, key=lambda s: s["start"]):
             if span["end"] > at:
@@ -184,14 +242,20 @@ def _cut(texts: pa.Array, spans: pa.Array) -> pa.Array:
 
 
 def without_leaks(
-    documents: DataFrame, items: DataFrame, n: int = WORDS, broadcast_chars: int = BROADCAST_CHARS
+    documents: DataFrame, items: DataFrame, n: int = WORDS, block_chars: int = BLOCK_CHARS
 ) -> DataFrame:
-    """``doc_id, text, clean_text, items`` of the documents that leak, leaked passages cut out of ``clean_text``.
+    """``documents`` with the columns ``clean_text, items``: leaked passages cut out, and the items they belong to.
 
-    ``doc_id`` is taken to be unique.  A document's passages are gathered in one row, as its text is.
+    Every row stays, repeated rows too; ``clean_text`` is the text where nothing leaks, null for null; ``items`` is
+    empty then.  Passages are cut in the pass that finds them, so no row moves.  Columns of these names are replaced.
     """
-    found = leaks(documents, items, n, broadcast_chars)
-    spans = found.groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "start", "end")).alias("spans"))
-    joined = documents.select("doc_id", "text").join(spans, "doc_id")
-    cleaned = joined.select("doc_id", "text", F.arrow_udf(_cut, _CLEANED)("text", "spans").alias("c"))
-    return cleaned.select("doc_id", "text", "c.clean_text", "c.items")
+    found = [spans("text") for spans in _finder(documents, items, n, block_chars)]
+    cleaned = documents.withColumn("_spans", F.flatten(F.array(*found)))
+    cut = F.arrow_udf(_cut, _CLEANED)("text", "_spans")
+    leaking = F.when(F.size("_spans") > 0, cut)
+    return cleaned.withColumn("_c", leaking).withColumns(
+        {
+            "clean_text": F.when(F.size("_spans") > 0, F.col("_c.clean_text")).otherwise(F.col("text")),
+            "items": F.coalesce(F.col("_c.items"), F.array().cast("array<bigint>")),
+        }
+    ).drop("_spans", "_c")

@@ -64,8 +64,10 @@ def p6_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p6_cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Leaking documents with the passages cut out."""
-    return contamination.without_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+    """All documents with leaked passages cut out, and the items that those belong to."""
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    cleaned = contamination.without_leaks(documents, table(spark, sf_dir, "eval_items"))
+    return cleaned.select("doc_id", "clean_text", "items")
 
 
 def p7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ def leaks(spark, texts, items, **options):
     return sorted((r.doc_id, r.item_id, r.start, r.end, r.n_words) for r in rows)
 
 
-@pytest.mark.parametrize("options", [{}, {"broadcast_chars": 0}])
+@pytest.mark.parametrize("options", [{}, {"block_chars": 60}])
 def test_passages(spark, options):
     texts = [
         f"xx {ITEM} yy",
@@ -43,21 +43,42 @@ def test_passages(spark, options):
 
 
 @settings(max_examples=8, deadline=None)
-@given(st.lists(st.text("ab .é", max_size=40), max_size=5), st.lists(st.text("ab .é", max_size=30), max_size=3))
-def test_passages_equal_brute_force_both_ways(spark, texts, items):
+@given(
+    st.lists(st.tuples(st.none() | st.integers(1, 2), st.text("ab .é", max_size=40)), max_size=5),
+    st.lists(st.tuples(st.integers(1, 3), st.text("ab .é", max_size=30)), max_size=4),
+)
+def test_passages_equal_brute_force_in_one_block_and_in_many(spark, texts, items):
     n = 3
     grams = lambda t: [tuple(contamination.words(t)[0][i : i + n]) for i in range(len(contamination.words(t)[0]) - n + 1)]
-    want = {(d, i) for d, t in enumerate(texts) for i, x in enumerate(items) if set(grams(t)) & set(grams(x))}
-    assert {x[:2] for x in leaks(spark, texts, items, n=n)} == want
-    assert leaks(spark, texts, items, n=n) == leaks(spark, texts, items, n=n, broadcast_chars=0)
+    want = []
+    for d, t in texts:
+        for i, x in items:
+            held, run = set(grams(x)), 0
+            for gram in [*grams(t), None]:
+                run = run + 1 if gram in held else 0 if not run else want.append((d, i, run + n - 1)) or 0
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    tests = spark.createDataFrame(items, "item_id long, text string")
+    for options in ({}, {"block_chars": 40}):
+        rows = contamination.leaks(docs, tests, n, **options).collect()
+        found = sorted(((r.doc_id, r.item_id, r.n_words) for r in rows), key=str)
+        assert found == sorted(want, key=str), options
 
 
 def test_passages_are_cut_out(spark):
-    docs = spark.createDataFrame([(1, f"before {ITEM} after", 0), (2, "clean", 0)], "doc_id long, text string, items int")
-    tests = spark.createDataFrame([(7, ITEM)], "item_id long, text string")
-    for bound in (1000, 0):
-        rows = contamination.without_leaks(docs, tests, broadcast_chars=bound).collect()
-        assert [(r.doc_id, r.clean_text, r["items"]) for r in rows] == [(1, "before  after", [7])]
+    rows = [(1, f"before {ITEM} after", 0), (2, "clean", 0), (1, f"before {ITEM} after", 0), (None, None, 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, items int")
+    tests = spark.createDataFrame([(7, ITEM), (8, ITEM), (9, "other " * 40)], "item_id long, text string")
+    for bound in (1000, 100):
+        found = [(r.doc_id, r.clean_text, r["items"]) for r in contamination.without_leaks(docs, tests, block_chars=bound).collect()]
+        assert found == [(1, "before  after", [7, 8]), (2, "clean", []), (1, "before  after", [7, 8]), (None, None, [])]
+    none = contamination.without_leaks(docs.where("false"), tests)
+    assert none.count() == 0 and none.columns == ["doc_id", "text", "items", "clean_text"]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(["a", "B", " ", "<b>", "</i>", "<", ">", "[q]", "[", "&amp;", "&#101;", "é", "1", ".", "<!--", "-->", "\n"]), max_size=14).map("".join))
+def test_short_way_to_words(text):
+    assert contamination.bare_words(text) == contamination.words(text)[0]
 
 
 def test_words_keep_letter_entities_together():
