@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import argparse
+import resource
 import sys
 import time
 
-from pyspark.sql import SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import Observation, SparkSession
 
 from keyloom.plans.database import Database
 from keyloom.plans.server import make_server
@@ -49,27 +49,76 @@ def _arguments(words: list[str] | None) -> argparse.Namespace:
     return parser.parse_args(words)
 
 
+def _size(spark: SparkSession, path: str) -> int:
+    """Bytes below a path."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    system = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return system.getContentSummary(target).getLength() if system.exists(target) else 0
+
+
 def _index(spark: SparkSession, given: argparse.Namespace) -> int:
     began = time.monotonic()
     lines = ingest.read_lines(spark, given.input)
-    bad = 0
+    errors = None
     if given.json is None:
         keys = ingest.keys_from_text(lines, given.prefix)
     else:
-        keys = ingest.keys_from_json(lines, given.json, given.prefix, given.on_error)
-        bad = ingest.parse_objects(lines, given.json).where(F.col("key").isNull()).limit(1).count()
+        errors = Observation("errors")
+        keys = ingest.keys_from_json(lines, given.json, given.prefix, given.on_error, errors)
     keys, metrics = ingest.watched(keys)
     entries = ingest.build_entries(keys, given.ignore_duplicates)
     ingest.write_index(entries, given.index, given.tag_index, given.search_index)
     n = len(Database.open(spark, given.index))
     took = time.monotonic() - began
     read = {k: v or 0 for k, v in metrics.get.items()}
-    print(f"{n} entries in {took:.1f} s, {n / took:.0f} entries/s; read {read}", file=sys.stderr)
+    size = read["key_bytes"] + read["payload_bytes"]
+    parts = ", ".join(f"{name} {_size(spark, f'{given.index}/{name}')} bytes" for name in ingest.TABLES)
+    peak = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss // 1024
+    print(f"{n} entries in {took:.1f} s, {n / took:.0f} entries/s, {size / took:.0f} bytes/s; read {read}", file=sys.stderr)
+    print(f"written: {parts}; driver's Python at most {peak} MB", file=sys.stderr)
+    bad = errors is not None and errors.get["n_bad"]
     if bad:
-        print("some lines couldn't be indexed", file=sys.stderr)
+        print(f"Error processing entry {errors.get['first_bad']}", file=sys.stderr)
     return int(bool(bad) and given.on_error == "stop")
 
 
+def _with_completion(shell: Shell) -> None:
+    """Complete words with the tab key where the platform has a line editor."""
+    try:
+        import readline
+    except ImportError:
+        return
+    found: list[str] = []
+
+    def complete(_: str, state: int) -> str | None:
+        if state == 0:
+            found[:] = shell.complete(readline.get_line_buffer()[: readline.get_endidx()])
+        return found[state] if state < len(found) else None
+
+    readline.set_completer_delims(" ")
+    readline.set_completer(complete)
+    readline.parse_and_bind("tab: complete")
+
+
+def _converse(spark: SparkSession, shell: Shell) -> None:
+    """Read and run lines.  Ctrl-C ends the running command, twice in a row the shell."""
+    _with_completion(shell)
+    interrupted = False
+    while not shell.done:
+        try:
+            for text in shell.run(input(f"{shell.cwd}> ")):
+                print(text)
+            interrupted = False
+        except EOFError:
+            break
+        except KeyboardInterrupt:
+            spark.sparkContext.cancelAllJobs()
+            if interrupted:
+                break
+            interrupted = True
+            print("interrupted; once more to leave")
+
+
 def main(words: list[str] | None = None) -> int:
     given = _arguments(words)
     spark = SparkSession.builder.appName("keyloom").getOrCreate()
@@ -89,14 +138,7 @@ def main(words: list[str] | None = None) -> int:
             for text in shell.run(" ".join(x for x in given.words if x != "--")):
                 print(text)
             return 0
-        while not shell.done:
-            try:
-                for text in shell.run(input(f"{shell.cwd}> ")):
-                    print(text)
-            except EOFError:
-                break
-            except KeyboardInterrupt:
-                spark.sparkContext.cancelAllJobs()
+        _converse(spark, shell)
     return 0
 
 

@@ -41,14 +41,6 @@ def grams(text: str) -> list[str]:
     return list(dict.fromkeys("".join(parts[i : i + GRAM]) for i in range(len(parts) - GRAM + 1)))
 
 
-def common_prefix(a: str | None, b: str | None) -> str | None:
-    """Longest common prefix of two texts: of the least and the greatest key, it is that of all keys."""
-    if a is None or b is None:
-        return None
-    n = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
-    return a[:n]
-
-
 _FORMS = T.StructType([T.StructField("norm", T.StringType()), T.StructField("strip", T.StringType())])
 NOT_ASCII = r"[^\x00-\x7F]"
 

@@ -56,6 +56,8 @@ class ListQuery:
     custom: tuple[CustomFilter, ...] = ()
     kind: str | None = None
     payload: bool = True
+    #: Shards without search grams contribute nothing to a search, instead of being scanned.
+    require_index: bool = False
 
     def __post_init__(self) -> None:
         if self.delimiter is not None and (len(self.delimiter) != 1 or not self.delimiter.isascii()):

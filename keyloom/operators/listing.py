@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from keyloom.model import COMMON_PREFIX, KEY, MAX_LIMIT, CursorError, ListQuery
-from keyloom.operators.predicates import custom_entries, has_prefix, search_entries, tag_entries
+from keyloom.operators.predicates import candidate_entries, custom_entries, has_prefix, search_entries, tag_entries
 
 
 def key_bound(query: ListQuery) -> str | None:
@@ -26,18 +26,33 @@ def key_bound(query: ListQuery) -> str | None:
     return cursor
 
 
-def select_entries(entries: DataFrame, tags: DataFrame | None, query: ListQuery) -> DataFrame:
-    """The entries that a listing looks at: prefix and cursor bound on the scan, then tags, search, custom filters."""
+def select_entries(
+    entries: DataFrame, tags: DataFrame | None, query: ListQuery, grams: DataFrame | None = None, gram_shards: list[int] | None = None
+) -> DataFrame:
+    """The entries that a listing looks at: prefix and cursor bound on the scan, then tags, search, custom filters.
+
+    Where ``grams`` exist, included terms look up candidates before keys are compared; ``gram_shards`` are the shards
+    that have them, None if all do.
+    """
     found = entries.where(has_prefix(F.col("key"), query.prefix))
     bound = key_bound(query)
     if bound is not None:
         found = found.where(F.col("key") >= bound)
+    if query.search.include:
+        found = candidate_entries(found, query.search, grams, gram_shards, query.require_index)
     return custom_entries(
         search_entries(tag_entries(found, tags, query.tags, query.prefix), query.search), query.custom
     )
 
 
-def list_entries(entries: DataFrame, tags: DataFrame | None, query: ListQuery, unique: bool = False) -> DataFrame:
+def list_entries(
+    entries: DataFrame,
+    tags: DataFrame | None,
+    query: ListQuery,
+    unique: bool = False,
+    grams: DataFrame | None = None,
+    gram_shards: list[int] | None = None,
+) -> DataFrame:
     """``entry, kind, shard, id, payload, child_count`` of a listing, not yet ordered.
 
     A key in several shards appears once, with the row of the first; a group counts the rows of all shards, so such a
@@ -45,7 +60,7 @@ def list_entries(entries: DataFrame, tags: DataFrame | None, query: ListQuery, u
     counted by a hash aggregate, combined per task before the shuffle; rows with payloads are compared only for keys
     that stand for themselves, and not at all where keys are ``unique``, as in a single shard.
     """
-    found = select_entries(entries, tags, query)
+    found = select_entries(entries, tags, query, grams, gram_shards)
     parts = []
     if query.delimiter is None:
         parts.append((KEY, found))

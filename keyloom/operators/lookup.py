@@ -4,9 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-from keyloom.functions.text import common_prefix
 
 
 def get_value(entries: DataFrame, key: str) -> DataFrame:
@@ -27,9 +24,10 @@ def entries_by_ids(entries: DataFrame, shard: int, ids: list[int]) -> DataFrame:
     return wanted.join(entries.where(F.col("shard") == shard), "id").select("position", "id", "key", "payload")
 
 
-@F.udf(T.StringType(), useArrow=False)
-def _lcp(a: str | None, b: str | None) -> str | None:
-    return common_prefix(a, b)
+def common_prefix(a: Column, b: Column) -> Column:
+    """Longest common prefix of two texts: of the least and the greatest key, it is that of all keys."""
+    lengths = F.sequence(F.lit(0), F.least(F.length(a), F.length(b)))
+    return F.substring(a, F.lit(1), F.size(F.filter(lengths, lambda n: F.left(a, n) == F.left(b, n))) - 1)
 
 
 def shard_stats(entries: DataFrame) -> DataFrame:
@@ -37,7 +35,7 @@ def shard_stats(entries: DataFrame) -> DataFrame:
     stats = entries.groupBy("shard").agg(
         F.count(F.lit(1)).alias("n_keys"), F.min("key").alias("min_key"), F.max("key").alias("max_key")
     )
-    return stats.withColumn("common_prefix", _lcp("min_key", "max_key"))  # one call per shard
+    return stats.withColumn("common_prefix", common_prefix(F.col("min_key"), F.col("max_key")))
 
 
 def candidate_shards(manifest: DataFrame, prefix: str) -> DataFrame:

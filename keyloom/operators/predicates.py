@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from keyloom.functions.text import GRAM, grams, graphemes, key_grams, normalize, search_forms, strip_accents
 from keyloom.model import CustomFilter, SearchFilter, TagFilter
+from keyloom.operators.gram_index import gram_candidates
 
 
 def has_prefix(key: Column, prefix: str) -> Column:
@@ -49,6 +50,25 @@ def lacks_term(forms: Column, term: str) -> Column:
     return ~(forms["norm"].contains(norm) | forms["strip"].contains(strip_accents(norm)))
 
 
+def candidate_entries(
+    entries: DataFrame, search: SearchFilter, grams: DataFrame | None, gram_shards: list[int] | None, require_index: bool
+) -> DataFrame:
+    """Entries that the grams don't rule out for the included terms of three and more clusters.
+
+    Entries of shards without grams stay, or with ``require_index`` go.  Keys still have to be compared.
+    """
+    if grams is None or gram_shards == []:
+        return entries.where(F.lit(False)) if require_index else entries
+    long = [t for t in search.include if len(graphemes(normalize(t))) >= GRAM]
+    held = None if gram_shards is None else F.col("shard").isin(gram_shards)
+    indexed = entries if held is None else entries.where(held)
+    for term in long:
+        indexed = indexed.join(gram_candidates(grams, term), ["shard", "id"], "left_semi")
+    if held is None or require_index:
+        return indexed
+    return indexed.unionByName(entries.where(~held)) if long else entries
+
+
 def search_entries(entries: DataFrame, search: SearchFilter, key: str = "key") -> DataFrame:
     """Entries whose key holds all included and no excluded terms."""
     if not (search.include or search.exclude):

@@ -10,10 +10,8 @@ from typing import Any
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
-from keyloom.functions.text import GRAM, graphemes, normalize
 from keyloom.model import COMMON_PREFIX, MAX_LIMIT, ListQuery, SearchFilter, TagFilter
 from keyloom.operators import listing, lookup, tag_index
-from keyloom.operators.gram_index import gram_candidates
 from keyloom.sources.ingest import IndexTables, manifest_of, open_index
 
 
@@ -27,26 +25,45 @@ class Database:
         manifest: DataFrame | None = None,
         grams: DataFrame | None = None,
         prune: bool = True,
+        gram_shards: tuple[int, ...] | None = None,
     ):
+        self.gram_shards = gram_shards
         self.entries, self.tags, self.grams, self.prune = entries, tags, grams, prune
         self._manifest = manifest
 
     @classmethod
     def open(cls, spark: SparkSession, path: str, limit: int | None = None, prune: bool = True) -> Database:
         tables: IndexTables = open_index(spark, path, limit)
-        return cls(tables.entries, tables.tags, tables.manifest, tables.grams, prune)
+        return cls(tables.entries, tables.tags, tables.manifest, tables.grams, prune, tables.gram_shards)
 
     def add(self, other: Database) -> Database:
         """This database and another one's shards, which get the numbers after its own."""
         shift = (self.entries.agg(F.max("shard").alias("n")).first().n or 0) + 1
         moved = lambda df: df.withColumn("shard", (F.col("shard") + shift).cast("int"))
-        tags = [x for x in (self.tags, other.tags and moved(other.tags)) if x is not None]
+
+        def joined(mine: DataFrame | None, theirs: DataFrame | None) -> DataFrame | None:
+            parts = [x for x in (mine, None if theirs is None else moved(theirs)) if x is not None]
+            return None if not parts else parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1], allowMissingColumns=True)
+
+        # Only where both have a stored manifest can shards be told apart without reading them.
+        stored = self._manifest is not None and other._manifest is not None
         return Database(
-            self.entries.unionByName(moved(other.entries), allowMissingColumns=True),
-            None if not tags else tags[0] if len(tags) == 1 else tags[0].unionByName(tags[1]),
-            prune=self.prune,
+            joined(self.entries, other.entries),
+            joined(self.tags, other.tags),
+            joined(self._manifest, other._manifest) if stored else None,
+            joined(self.grams, other.grams),
+            self.prune,
+            (*self._searched(), *(x + shift for x in other._searched())),
         )
 
+    def _searched(self) -> tuple[int, ...]:
+        """The shards that have grams."""
+        if self.grams is None:
+            return ()
+        if self.gram_shards is None:  # a gram table given by hand covers all entries
+            return tuple(r.shard for r in self.entries.select("shard").distinct().collect())
+        return self.gram_shards
+
     @property
     def manifest(self) -> DataFrame:
         return manifest_of(self.entries, self.tags is not None) if self._manifest is None else self._manifest
@@ -75,7 +92,10 @@ class Database:
     def _unordered(self, query: ListQuery) -> DataFrame:
         shards = self._candidates(query.prefix)
         entries, tags = self._within(self.entries, shards), self._within(self.tags, shards)
-        return listing.list_entries(entries, tags, query, unique=shards is not None and len(shards) <= 1)
+        searched = None if self.gram_shards is None else list(self.gram_shards)
+        return listing.list_entries(
+            entries, tags, query, shards is not None and len(shards) <= 1, self._within(self.grams, shards), searched
+        )
 
     def page(self, query: ListQuery, limit: int = MAX_LIMIT) -> tuple[list[Row], str | None]:
         """(entries of a page, cursor of the next one); there is a cursor if the page is full."""
@@ -116,16 +136,8 @@ class Database:
         Where a gram table exists, terms of three and more clusters look up candidates first.  With ``require_index``
         shards without one contribute nothing; by default their keys are scanned.
         """
-        query = ListQuery(prefix, search=SearchFilter((term,)))
-        entries = self._pruned(self.entries, prefix)
-        if shard is not None:
-            entries = entries.where(F.col("shard") == shard)
-        if require_index and self.grams is None:
-            entries = entries.where(F.lit(False))
-        if self.grams is not None and len(graphemes(normalize(term))) >= GRAM:
-            wanted = self.grams if shard is None else self.grams.where(F.col("shard") == shard)
-            entries = entries.join(gram_candidates(wanted, term), ["shard", "id"], "left_semi")
-        return listing.ordered(listing.list_entries(entries, None, query))
+        within = ((lambda e: e["shard"] == shard),) if shard is not None else ()
+        return self.query(ListQuery(prefix, search=SearchFilter((term,)), custom=within, require_index=require_index))
 
     def list_tags(self, prefix: str = "") -> DataFrame:
         """``tag, count`` ordered by the lower-cased tag; empty without tag index."""
@@ -175,6 +187,7 @@ def make_query(
     mode: str = "and",
     search: str = "",
     exclude_search: str = "",
+    require_index: bool = False,
 ) -> ListQuery:
     """A query from the comma-separated lists of a request; blanks around items and empty items are dropped."""
 
@@ -186,4 +199,5 @@ def make_query(
         delimiter=delimiter or None,
         tags=TagFilter(items(include_tags), items(exclude_tags), mode),
         search=SearchFilter(items(search), items(exclude_search)),
+        require_index=require_index,
     )

@@ -27,6 +27,7 @@ def answer(database: Database, target: str, most: int = MAX_LIMIT) -> tuple[int,
                 given.get("mode", "and"),
                 given.get("search", ""),
                 given.get("exclude_search", ""),
+                given.get("require_index", "") in ("1", "true"),
             )
             return 200, database.keys_page(query, limit, cursor)
         if url.path in ("/tags", "/tags/counts"):
@@ -41,7 +42,10 @@ def make_server(database: Database, host: str = "127.0.0.1", port: int = 3000, m
 
     class Handler(BaseHTTPRequestHandler):
         def do_GET(self) -> None:  # noqa: N802 - named by the base class
-            status, body = answer(database, self.path, most)
+            try:
+                status, body = answer(database, self.path, most)
+            except Exception as error:  # noqa: BLE001 - whatever fails, the client gets an answer
+                status, body = 500, {"error": str(error).splitlines()[0] if str(error) else type(error).__name__}
             data = json.dumps(body, ensure_ascii=False).encode()
             self.send_response(status)
             self.send_header("Content-Type", "application/json")

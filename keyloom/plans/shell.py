@@ -197,20 +197,27 @@ class Shell:
         self.done = True
         return iter(())
 
-    def complete(self, line: str, most: int = 200) -> list[str]:
-        """What the last word of a line may become: a command, a tag or an entry one level below."""
+    def complete(self, line: str, most: int = 1000) -> list[str]:
+        """What the last word of a line may become: a command, a tag or an entry one level below.
+
+        Of more than ``most`` the first are given, and ``...`` behind them says so.
+        """
         words = line.split()
         typed = "" if not words or line.endswith(" ") else words[-1]
         if len(words) <= 1 and not (words and line.endswith(" ")):
             return sorted(x for x in self.commands if x.startswith(typed))
         if typed[:1] in ("#", "!"):
-            counts = self.db.list_tags(self.cwd).where(F.lower("tag").startswith(typed[1:].lower())).limit(most)
-            return [typed[0] + r["tag"] for r in counts.collect()]
+            counts = self.db.list_tags(self.cwd).where(F.lower("tag").startswith(typed[1:].lower())).limit(most + 1)
+            return _cut_to([typed[0] + r["tag"] for r in counts.collect()], most)
         kind = COMMON_PREFIX if words[0] == "cd" else None
         base = self.cwd + typed[: typed.rfind(self.delimiter) + 1]
         below = self.db.query(ListQuery(base, self.delimiter, kind=kind, payload=False))
-        found = below.where(F.col("entry").startswith(self.cwd + typed)).limit(most).collect()
-        return [r.entry.removeprefix(self.cwd) for r in found]
+        found = below.where(F.col("entry").startswith(self.cwd + typed)).limit(most + 1).collect()
+        return _cut_to([r.entry.removeprefix(self.cwd) for r in found], most)
+
+
+def _cut_to(found: list[str], most: int) -> list[str]:
+    return found if len(found) <= most else [*found[:most], "..."]
 
 
 def _compact(payload: str) -> str:

@@ -15,12 +15,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Use the shared folder the cluster names in ``spark.checkpoint.dir``.
 
-    A folder of our own is set only where the session names none, as in local tests.
+    A folder of our own is set only where the session names none and runs in one process, as in local tests; executors
+    couldn't share it.  What is written there is removed once nothing refers to it any more.
     """
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isDefined():
         return
     shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not context.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    context._jsc.sc().conf().setIfMissing("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="keyloom-checkpoint-"))
 
 

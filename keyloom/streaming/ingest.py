@@ -6,27 +6,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from keyloom.functions.text import search_forms
-from keyloom.operators.tag_index import build_tags
-from keyloom.sources.ingest import build_entries, keys_from_json, keys_from_text, manifest_of
+from keyloom.sources.ingest import build_entries, keys_from_json, keys_from_text, numbered, write_shards
 
 
-def append_shard(keys: DataFrame, path: str, shard: int, tag_field: str | None = None) -> None:
-    """Write ``key, payload, line_no`` as shard ``shard``; written again after a failure, it replaces itself."""
+def append_shard(keys: DataFrame, path: str, shard: int, tag_field: str | None = None, search: bool = False) -> None:
+    """Write ``key, payload, line_no`` as shard ``shard``; written again after a failure, it replaces itself.
+
+    The manifest row is the commit mark of the shard.  The layout is that of a written index, so it opens like one.
+    """
     entries = build_entries(keys.withColumn("shard", F.lit(shard)))
-    forms = search_forms(F.col("key"))
-    stored = entries.withColumn("_f", forms).select(
-        "id", "key", "payload", F.col("_f.norm").alias("key_norm"), F.col("_f.strip").alias("key_strip")
-    )
-    ranged = stored.repartitionByRange("key").sortWithinPartitions("key")
-    ranged.write.mode("overwrite").parquet(f"{path}/entries/shard={shard}")
-    written = keys.sparkSession.read.parquet(f"{path}/entries/shard={shard}").withColumn("shard", F.lit(shard))
-    if tag_field is not None:
-        tags = build_tags(written, tag_field).drop("shard").repartitionByRange("tag_lc")
-        tags.write.mode("overwrite").parquet(f"{path}/tags/shard={shard}")
-    # The manifest row is the commit mark of the shard.
-    row = manifest_of(written, has_tags=tag_field is not None).drop("shard").coalesce(1)
-    row.write.mode("overwrite").parquet(f"{path}/manifest/shard={shard}")
+    write_shards(entries, path, f"batch-{shard}", tag_field, search, whole=False)
 
 
 def ingest_stream(
@@ -38,28 +27,19 @@ def ingest_stream(
     prefix: str = "",
     tag_field: str | None = None,
     available_now: bool = True,
+    search: bool = False,
 ) -> StreamingQuery:
     """Follow a folder of text or JSON-line files; batch N becomes shard N.
 
     Ingestion only appends, so there is no event time and no watermark.  Batches are numbered by the checkpoint, which
     makes a repeated batch overwrite its own shard.  Bad JSON lines are dropped; a stream has no last line to stop at.
     """
-    lines = spark.readStream.text(source)
+    lines = spark.readStream.text(source).select("value", "_metadata")
 
     def write(batch: DataFrame, number: int) -> None:
-        kept = batch.withColumn("line_no", F.monotonically_increasing_id()).where(F.col("value") != "")
+        kept = numbered(batch)
         keys = keys_from_text(kept, prefix) if json_key is None else keys_from_json(kept, json_key, prefix, "drop")
-        append_shard(keys, path, number, tag_field)
+        append_shard(keys, path, number, tag_field, search)
 
     writer = lines.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
-
-
-def open_streamed(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame | None]:
-    """(entries, manifest, tags or None) of the committed shards of a streamed index."""
-    manifest = spark.read.parquet(f"{path}/manifest")
-    done = [r.shard for r in manifest.select("shard").collect()]  # one row per shard
-    entries = spark.read.parquet(f"{path}/entries").where(F.col("shard").isin(done))
-    has_tags = manifest.where("has_tags").limit(1).count() > 0
-    tags = spark.read.parquet(f"{path}/tags").where(F.col("shard").isin(done)) if has_tags else None
-    return entries, manifest, tags

@@ -2,6 +2,7 @@
 
 import json
 import threading
+import urllib.error
 import urllib.request
 
 import pytest
@@ -13,7 +14,7 @@ from keyloom.plans.database import Database
 from keyloom.plans.server import answer, make_server
 from keyloom.plans.shell import Shell, UsageError, parent, parse_ls, parse_val
 from keyloom.sources import ingest
-from keyloom.streaming.ingest import ingest_stream, open_streamed
+from keyloom.streaming.ingest import ingest_stream
 
 
 def lines(spark, *values):
@@ -118,10 +119,120 @@ def test_stream_adds_shards(spark, tmp_path):
     (tmp_path / "in").mkdir()
     for text in ('{"path":"k1","tags":["t"]}\nbad\n', '{"path":"k2"}\n'):
         (tmp_path / "in" / f"f{len(text)}.jsonl").write_text(text)
-        ingest_stream(spark, source, path, check, json_key="path", tag_field="tags").awaitTermination()
-    entries, manifest, tags = open_streamed(spark, path)
-    assert {(r.shard, r.key) for r in entries.collect()} == {(0, "k1"), (1, "k2")}
-    assert manifest.count() == 2 and [r.tag for r in tags.collect()] == ["t"]
+        run = ingest_stream(spark, source, path, check, json_key="path", tag_field="tags", search=True)
+        run.awaitTermination()
+    db = Database.open(spark, path)
+    assert {(r.shard, r.key) for r in db.entries.collect()} == {(0, "k1"), (1, "k2")}
+    assert len(db) == 2 and [r["tag"] for r in db.list_tags().collect()] == ["t"]
+    assert [r.entry for r in db.list("", "/").collect()] == ["k1", "k2"] and db.search("k2").count() == 1
+    assert [r.entry for r in db.list(tags=TagFilter(("t",))).collect()] == ["k1"]
+    assert list(Shell(db).run("ls"))[-1] == "2 entries listed"
+
+
+def keyed(spark, *rows):
+    keys = spark.createDataFrame([(*v, i) for i, v in enumerate(rows)], "shard int, key string, payload string, line_no long")
+    return ingest.build_entries(keys)
+
+
+def test_rebuild_leaves_nothing_of_the_old_index(spark, tmp_path):
+    path = str(tmp_path / "index")
+    ingest.write_index(keyed(spark, (0, "a", '{"tags":["t"]}'), (1, "b", None)), path, "tags", search=True)
+    assert [r.entry for r in Database.open(spark, path).list(tags=TagFilter(("t",))).collect()] == ["a"]
+    ingest.write_index(keyed(spark, (0, "a", None), (2, "c", None)), path)
+    db = Database.open(spark, path)
+    assert db.tags is None and db.grams is None and db.list(tags=TagFilter(("t",))).count() == 0
+    assert [(r.shard, r.has_tags, r.has_search) for r in db.shards().collect()] == [(0, False, False), (2, False, False)]
+    assert len(list((tmp_path / "index" / "entries").glob("version=*"))) == 1
+    ingest.write_tags(spark, path)
+    ingest.write_grams(spark, path)
+    assert [(r.has_tags, r.has_search) for r in Database.open(spark, path).shards().collect()] == [(True, True)] * 2
+    ingest.write_index(keyed(spark, (0, "x", None)).where("false"), path)
+    assert len(Database.open(spark, path)) == 0 and Database.open(spark, path).list().count() == 0
+
+
+def test_damaged_shards_are_passed_over(spark, tmp_path):
+    path = str(tmp_path / "index")
+    ingest.write_index(keyed(spark, (0, "a", None), (1, "b", None), (2, "c", None)), path, search=True)
+    [broken] = (tmp_path / "index" / "entries").glob("version=*/shard=1/*.parquet")
+    broken.write_bytes(broken.read_bytes()[:-3])
+    [missing] = (tmp_path / "index" / "entries").glob("version=*/shard=2")
+    import shutil
+
+    shutil.rmtree(missing)
+    with pytest.warns(UserWarning, match="passed over"):
+        db = Database.open(spark, path)
+    assert [r.entry for r in db.list().collect()] == ["a"] and len(db) == 1
+
+
+def test_joined_databases_keep_grams_and_manifest(spark, tmp_path):
+    for name, rows, search in (("one", [(0, "alpha", None)], True), ("two", [(0, "alphabet", None), (1, "beta", None)], False)):
+        ingest.write_index(keyed(spark, *rows), str(tmp_path / name), search=search)
+    both = Database.open(spark, str(tmp_path / "one")).add(Database.open(spark, str(tmp_path / "two")))
+    assert len(both) == 3 and both._manifest is not None and both._searched() == (0,)
+    found = lambda **o: [r.entry for r in both.list(search=SearchFilter(("alph",)), **o).collect()]
+    assert found() == ["alpha", "alphabet"] and found(require_index=True) == ["alpha"]
+    assert [r.entry for r in both.list("be").collect()] == ["beta"]
+
+
+def test_grams_narrow_listings(spark, written):
+    db = Database.open(spark, written)
+    bare = Database(db.entries, db.tags)
+    for terms in (("uni",), ("a/1",), ("1", "a/1"), ("zzz",), ("ü",)):
+        for delimiter in (None, "/"):
+            query = ListQuery("", delimiter, search=SearchFilter(terms))
+            assert db.query(query).collect() == bare.query(query).collect(), terms
+    plan = db.query(ListQuery(search=SearchFilter(("uni",))))._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftSemi" in plan and "gram" in plan
+
+
+def test_lines_are_numbered_by_file(spark, tmp_path):
+    for name, text in (("a.txt", "x\n\ny\n"), ("b.txt", "z\n" * 5), ("c.txt", "x\nlast\n"), ("d.txt", "")):
+        (tmp_path / name).write_text(text)
+    rows = sorted((r.line_no, r.value) for r in ingest.read_lines(spark, str(tmp_path)).collect())
+    assert rows == list(enumerate(["x", "y", *"zzzzz", "x", "last"], 1))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        assert sorted((r.line_no, r.value) for r in ingest.read_lines(spark, str(tmp_path)).collect()) == rows
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_first_wins_and_stop_follow_the_files(spark, tmp_path):
+    (tmp_path / "1.jsonl").write_text('{"p":"k","v":1}\n{"p":"a"}\n')
+    (tmp_path / "2.jsonl").write_text('{"p":"k","v":2,"pad":"' + "x" * 500 + '"}\noops\n{"p":"late"}\n')
+    (tmp_path / "3.jsonl").write_text('{"p":"k","v":3}\n')
+    lines = ingest.read_lines(spark, str(tmp_path))
+    stopped = ingest.build_entries(ingest.keys_from_json(lines, "p", on_error="stop")).collect()
+    assert {r.key: r.payload for r in stopped} == {"k": '{"v":1}', "a": "{}"}
+    with pytest.raises(Exception, match="Error processing entry 4"):
+        ingest.keys_from_json(lines, "p").collect()
+
+
+def test_repeated_names_keep_the_last_value(spark):
+    [row] = ingest.keys_from_json(lines(spark, '{"path":"a","n":1,"path":"b","n":2}'), "path").collect()
+    assert (row.key, json.loads(row.payload)) == ("b", {"n": 2})
+
+
+def test_common_prefix_needs_no_python(spark):
+    from keyloom.operators.lookup import shard_stats
+
+    rows = [(0, "ab/x"), (0, "ab/y"), (1, "q"), (2, "a"), (2, "b"), (3, ""), (4, "é1"), (4, "é12")]
+    stats = shard_stats(spark.createDataFrame(rows, "shard int, key string"))
+    assert {r.shard: r.common_prefix for r in stats.collect()} == {0: "ab/", 1: "q", 2: "", 3: "", 4: "é1"}
+    assert "Python" not in stats._jdf.queryExecution().toString()
+
+
+def test_failures_are_answered(database):
+    db = database(["a"])
+    db.entries = None
+    server = make_server(db, port=0)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    with pytest.raises(urllib.error.HTTPError) as failed:
+        urllib.request.urlopen(f"http://127.0.0.1:{server.server_port}/keys")
+    assert failed.value.code == 500 and "error" in json.load(failed.value)
+    server.shutdown()
 
 
 def test_shell(database):
