@@ -41,6 +41,15 @@ def grams(text: str) -> list[str]:
     return list(dict.fromkeys("".join(parts[i : i + GRAM]) for i in range(len(parts) - GRAM + 1)))
 
 
+#: A grapheme cluster for the JVM, whose ``\\X`` parts conjuncts of Indic scripts: a letter behind a virama goes with it.
+_VIRAMA = r"\u094D\u09CD\u0ACD\u0B4D\u0C4D\u0D4D"
+_CONSONANT = (
+    r"\u0915-\u0939\u0958-\u095F\u0978-\u097F\u0995-\u09A8\u09AA-\u09B0\u09B2\u09B6-\u09B9\u09DC\u09DD\u09DF\u09F0\u09F1"
+    r"\u0A95-\u0AA8\u0AAA-\u0AB0\u0AB2\u0AB3\u0AB5-\u0AB9\u0AF9\u0B15-\u0B28\u0B2A-\u0B30\u0B32\u0B33\u0B35-\u0B39\u0B5C\u0B5D\u0B5F\u0B71"
+    r"\u0C15-\u0C28\u0C2A-\u0C39\u0C58-\u0C5A\u0D15-\u0D3A"
+)
+CLUSTER = rf"(?s)((?:\X(?<=[{_VIRAMA}][\u200D\u093C\u09BC\u0ABC\u0B3C]{{0,2}})(?=[{_CONSONANT}]))*\X)"
+
 _FORMS = T.StructType([T.StructField("norm", T.StringType()), T.StructField("strip", T.StringType())])
 NOT_ASCII = r"[^\x00-\x7F]"
 
@@ -78,7 +87,7 @@ def gram_array(text: Column) -> Column:
     # In plain text every character is a cluster, so its grams are cut without a regular expression.
     windows = F.sequence(F.lit(1), F.greatest(F.length(text) - (GRAM - 1), F.lit(1)))
     plain = F.array_distinct(F.transform(windows, lambda i: F.substr(text, i, F.lit(GRAM))))
-    clusters = bind(F.regexp_extract_all(text, F.lit(r"(?s)(\X)"), F.lit(1)), of)
+    clusters = bind(F.regexp_extract_all(text, F.lit(CLUSTER), F.lit(1)), of)
     return F.when(text.rlike(r"\A[\x20-\x7E]{3,}\z"), plain).otherwise(clusters)
 
 

@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keyloom.functions.text import gram_array, search_forms
+from keyloom.functions.text import GRAM, grams, graphemes, normalize, strip_accents
 from keyloom.model import COMMON_PREFIX, KEY, ListQuery, SearchFilter, TagFilter
 from keyloom.operators import gram_index, listing, lookup, tag_index
 from keyloom.operators.predicates import search_entries
@@ -110,7 +110,7 @@ _listing(
 def multi_shard_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keys that several shards hold count once per shard below a group."""
     db = database(spark, sf_dir)
-    query = ListQuery("/srv/mirror/current/", "/", payload=False)
+    query = ListQuery("/srv/", "/", payload=False)
     return listing.list_entries(db.entries, db.tags, query).select("entry", "kind", "shard", "child_count")
 
 
@@ -126,7 +126,7 @@ _register(
     "multi_shard_counts",
     multi_shard_counts,
     "SELECT entry, kind, shard, child_count FROM "
-    f"({_grouped_sql(_under('/srv/mirror/current/'), '/srv/mirror/current/')})",
+    f"({_grouped_sql(_under('/srv/'), '/srv/')})",
 )
 _register(
     "multi_shard_dedup",
@@ -296,46 +296,90 @@ _listing(
 
 # Search --------------------------------------------------------------------------------------------------------------
 
-# DuckDB has compatibility normalisation for neither; keys whose forms differ in it are tested in tests/.
-_PLAIN = "regexp_matches(key, '^[\\x20-\\x7E]*$')"
+# DuckDB has no compatibility form.  It is written here by rule for the ranges of styled letters and digits, and as a list
+# of fixed values for single characters; then canonical composition, small letters and accents are DuckDB's own.
+_SINGLE = {
+    "ª": "a", "º": "o", "²": "2", "³": "3", "¹": "1", "¼": "1⁄4", "½": "1⁄2", "¾": "3⁄4", "…": "...", "™": "tm", "№": "no", "µ": "μ",
+    "¨": " ̈", "¯": " ̄", "´": " ́", "¸": " ̧", "˘": " ̆", "˙": " ̇", "˚": " ̊", "˛": " ̨",
+    "˜": " ̃", "˝": " ̋", "ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "st", "ﬆ": "st",
+}
+_COMPATIBLE = (
+    "CASE WHEN ord(x) < 160 THEN x WHEN ord(x) BETWEEN 65281 AND 65374 THEN chr(ord(x) - 65248) "
+    "WHEN ord(x) BETWEEN 119808 AND 120483 THEN chr(97 + (ord(x) - 119808) % 26) "
+    "WHEN ord(x) BETWEEN 120782 AND 120831 THEN chr(48 + (ord(x) - 120782) % 10) "
+    "WHEN ord(x) IN (160, 8239, 8287, 12288) OR ord(x) BETWEEN 8194 AND 8202 THEN ' ' "
+    + "".join(f"WHEN x = '{x}' THEN '{y}' " for x, y in _SINGLE.items())
+    + "ELSE x END"
+)
+_FORMS_SQL = f"""
+    SELECT *, strip_accents(norm) AS strip FROM (
+        SELECT *, CASE WHEN regexp_full_match(key, '[\x01-\x7F]*') THEN lower(key) ELSE
+            lower(nfc_normalize(array_to_string([{_COMPATIBLE} FOR x IN string_split(key, '')], ''))) END AS norm
+        FROM entries AS e)"""
+
+
+def _grams_sql(text: str) -> str:
+    """Grams of a text, over grapheme clusters."""
+    return (
+        f"CASE WHEN length_grapheme({text}) BETWEEN 1 AND 2 THEN [{text} || repeat(chr(0), 3 - length_grapheme({text}))] "
+        f"ELSE [substring_grapheme({text}, i, 3) FOR i IN range(1, length_grapheme({text}) - 1)] END"
+    )
 
 
-def _search(name: str, search: SearchFilter, sql: str | None, **query: object) -> None:
-    _listing(name, ListQuery(search=search, **query), sql) if sql else _register(
-        name,
-        lambda spark, sf_dir: listing.list_entries(
-            table(spark, sf_dir, "entries"), table(spark, sf_dir, "tags"), ListQuery(search=search, **query)
-        ),
-    )
+_ALL_GRAMS = f"list_concat({_grams_sql('norm')}, CASE WHEN strip <> norm THEN {_grams_sql('strip')} ELSE [] END)"
 
 
-def search_plain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Keys of plain characters that hold two terms and not a third."""
-    plain = table(spark, sf_dir, "entries").where(F.col("key").rlike(r"^[\x20-\x7E]*$"))
-    return search_entries(plain, SearchFilter(("BACK", "json"), ("catalog",))).select("shard", "id", "key")
+def _holds_sql(term: str) -> str:
+    """Does a key hold a term: as it is or without accents, and gram by gram?"""
+    norm, bare = normalize(term), strip_accents(normalize(term))
+    held = f"(contains(norm, '{norm}') OR contains(strip, '{bare}'))"
+    if len(graphemes(norm)) < GRAM:
+        return f"({held} AND (contains(norm, '{norm}') OR contains(strip, '{norm}')))"
+    wanted = ", ".join(f"'{g}'" for g in grams(norm))
+    return f"CASE WHEN {held} THEN list_has_all({_ALL_GRAMS}, [{wanted}]) ELSE false END"
 
 
-_register(
-    "search_plain",
-    search_plain,
-    f"SELECT shard, id, key FROM entries WHERE {_PLAIN} AND contains(lower(key), 'back') "
-    "AND contains(lower(key), 'json') AND NOT contains(lower(key), 'catalog')",
-)
+def _lacks_sql(term: str) -> str:
+    norm = normalize(term)
+    return f"NOT (contains(norm, '{norm}') OR contains(strip, '{strip_accents(norm)}'))"
+
+
+def _searched_sql(search: SearchFilter, condition: str = "true") -> str:
+    wanted = [condition, *map(_holds_sql, search.include), *map(_lacks_sql, search.exclude)]
+    return f"SELECT * EXCLUDE (norm, strip) FROM ({_FORMS_SQL}) AS e WHERE {' AND '.join(wanted)}"
 
 
 def search_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All keys that hold two terms and not a third."""
+    """Keys that hold two terms and not a third."""
     entries = table(spark, sf_dir, "entries")
     return search_entries(entries, SearchFilter(("BACK", "json"), ("catalog",))).select("shard", "id", "key")
 
 
-_register("search_terms", search_terms)
-_search("search_one", SearchFilter(("Report",)), None)
-_search("search_multi", SearchFilter(("home", "plan")), None)
-_search("search_exclude", SearchFilter((), ("e",)), None)
-_search("search_short", SearchFilter(("zi",)), None)
-_search("search_accent", SearchFilter(("resume",)), None)
-_search("search_accent_exact", SearchFilter(("résumé",)), None)
+_register(
+    "search_terms",
+    search_terms,
+    f"SELECT shard, id, key FROM ({_searched_sql(SearchFilter(('BACK', 'json'), ('catalog',)))})",
+)
+for _name, _terms in (
+    ("search_one", SearchFilter(("Report",))),
+    ("search_multi", SearchFilter(("home", "plan"))),
+    ("search_exclude", SearchFilter((), ("e",))),
+    ("search_short", SearchFilter(("zi",))),
+    ("search_accent", SearchFilter(("resume",))),
+    ("search_accent_exact", SearchFilter(("résumé",))),
+):
+    _listing(_name, ListQuery(search=_terms), _flat_sql(_searched_sql(_terms)))
+
+
+def search_by_grams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A listing whose search looks up candidates in the grams of the keys first."""
+    db = database(spark, sf_dir)
+    return listing.list_entries(
+        db.entries, db.tags, ListQuery(search=SearchFilter(("resume",))), grams=gram_postings(spark, sf_dir)
+    )
+
+
+_register("search_by_grams", search_by_grams, _flat_sql(_searched_sql(SearchFilter(("resume",)))))
 
 
 def gram_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -343,16 +387,8 @@ def gram_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gram_index.build_grams(table(spark, sf_dir, "entries"))
 
 
-def gram_counts_plain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How many keys of plain characters hold each gram."""
-    plain = table(spark, sf_dir, "entries").where(F.col("key").rlike(r"^[\x20-\x7E]*$"))
-    forms = plain.select(search_forms(F.col("key")).alias("forms"))
-    grams = forms.select(F.explode(gram_array(F.col("forms.norm"))).alias("gram"))
-    return grams.groupBy("gram").agg(F.count(F.lit(1)).alias("n_keys"))
-
-
 def gram_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How many of all keys hold each gram."""
+    """How many keys hold each gram."""
     return gram_postings(spark, sf_dir).groupBy("gram").agg(F.count(F.lit(1)).alias("n_keys"))
 
 
@@ -361,60 +397,28 @@ def gram_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gram_index.gram_candidates(gram_postings(spark, sf_dir), "catalog")
 
 
-_register("gram_postings", gram_postings)
-_register("gram_counts", gram_counts)
-_register("gram_candidates", gram_candidates)
+_POSTINGS_SQL = f"SELECT DISTINCT shard, id, unnest({_ALL_GRAMS}) AS gram FROM ({_FORMS_SQL})"
+_register("gram_postings", gram_postings, _POSTINGS_SQL)
+_register("gram_counts", gram_counts, f"SELECT gram, count(*) AS n_keys FROM ({_POSTINGS_SQL}) GROUP BY gram")
 _register(
-    "gram_counts_plain",
-    gram_counts_plain,
-    f"""
-    SELECT gram, count(*) AS n_keys FROM (
-        SELECT DISTINCT shard, id, substr(lower(key), i, 3) AS gram
-        FROM (SELECT shard, id, key, unnest(range(1, length(key) - 1)) AS i FROM entries WHERE {_PLAIN}))
-    GROUP BY gram""",
+    "gram_candidates",
+    gram_candidates,
+    f"SELECT shard, id FROM ({_FORMS_SQL}) WHERE list_has_all({_ALL_GRAMS}, "
+    f"[{', '.join(repr(g) for g in grams('catalog'))}])",
 )
-_PLAIN_PREFIX = "/opt/builds/"
-
-
-def composed_tag_search_group(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Prefix, tags, terms, a custom predicate and grouping in one plan; the predicate keeps keys that SQL can follow."""
-    query = ListQuery(
-        _PLAIN_PREFIX,
-        "/",
-        tags=TagFilter(("indexed",), ("shared",)),
-        search=SearchFilter(("in",), ("script",)),
-        custom=(lambda e: e["key"].rlike(r"^[\x20-\x7E]*$"),),
-    )
-    db = database(spark, sf_dir)
-    return listing.list_entries(db.entries, db.tags, query)
-
-
-_register(
+_listing(
     "composed_tag_search_group",
-    composed_tag_search_group,
+    ListQuery("/opt/builds/", "/", tags=TagFilter(("indexed",), ("shared",)), search=SearchFilter(("in",), ("script",))),
     _grouped_sql(
-        _rows(
-            f"{_tagged('indexed')} AND NOT {_tagged('shared')} AND contains(lower(key), 'in') "
-            f"AND NOT contains(lower(key), 'script') AND {_PLAIN}",
-            _PLAIN_PREFIX,
+        _searched_sql(
+            SearchFilter(("in",), ("script",)),
+            f"{_tagged('indexed')} AND NOT {_tagged('shared')} AND starts_with(key, '/opt/builds/')",
         ),
-        _PLAIN_PREFIX,
+        "/opt/builds/",
     ),
 )
 
 
-def composed_search_group(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Prefix, tags, terms and grouping in one plan over all keys."""
-    query = ListQuery(
-        _PLAIN_PREFIX, "/", tags=TagFilter(("indexed",), ("shared",)), search=SearchFilter(("in",), ("script",))
-    )
-    db = database(spark, sf_dir)
-    return listing.list_entries(db.entries, db.tags, query)
-
-
-_register("composed_search_group", composed_search_group)
-
-
 def custom_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keep the entries whose ids another table names."""
     db = database(spark, sf_dir)

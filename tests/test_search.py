@@ -128,7 +128,7 @@ def test_composed_query_over_all_keys(spark, mixed):
                 entry = (prefix + head + slash, "CommonPrefix" if slash else "Key")
                 count, shards = want.get(entry, (0, []))
                 want[entry] = (count + 1, [*shards, n])
-    found = {(r.entry, r.kind): (r.child_count, r.shard) for r in QUERIES["composed_search_group"](spark, mixed).collect()}
+    found = {(r.entry, r.kind): (r.child_count, r.shard) for r in QUERIES["composed_tag_search_group"](spark, mixed).collect()}
     assert found == {e: (n, None) if e[1] == "CommonPrefix" else (None, min(shards)) for e, (n, shards) in want.items()}
     assert found["/opt/builds/app/", "CommonPrefix"] == (2, None) and len(found) == 4
 
@@ -151,6 +151,7 @@ def test_search_equals_the_model(database, keys, term):
 
 def test_gram_expression_equals_the_function(spark):
     values = ["", "a", "ab", "abc", "hello", "aaaa", "👨‍👩‍👧xyz", "🇯🇵abc", "é́bc", "\r\nab"]
+    values += ["दस्तावेज", "चित्र-1", "रिपोर्ट", "क्‍ष", "ক্ষমা", "తెలుగు క్ష", "കേരളം ന്ത"]
     df = spark.createDataFrame([(v,) for v in values], "v string").select("v", text.gram_array(F.col("v")).alias("g"))
     assert {r.v: r.g for r in df.collect()} == {v: text.grams(v) for v in values}
 
