@@ -3,8 +3,9 @@
 Names are cut into spans that hold all their characters beyond ASCII.  A smoothed character 3-gram model with back-off,
 over letters and over coarse shapes (script and case), is trained on the clean spans.  Every chain "encode with the
 wrong decoder, decode with the true encoding" gives a candidate; the likeliest is accepted if it beats the text as
-it stands by more than the chain's margin.  Margins are validated: no chain may rewrite the spans of words that the
-model has not seen.
+it stands by more than the chain's margin.  Lost and control characters are judged the same way, against the text
+without them.  Margins are validated on spans that the model has not seen, as they are and garbled by each chain: a
+margin lies between what clean spans gain by the chain and what garbled ones do.
 
 The n-gram tables are hashed into a fixed number of buckets, so the model's size has a bound that doesn't grow with
 the data.  All spans take part in the counts.
@@ -21,11 +22,9 @@ from functools import lru_cache
 from itertools import product
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from keyloom.llm.lookalikes import NOT_ASCII, script
 from keyloom.runtime import cut
@@ -33,11 +32,11 @@ from keyloom.runtime import cut
 #: Buckets of each hashed n-gram table.
 BUCKETS = 1 << 18
 #: One span in so many, by hash, is held out to validate margins.
-HELD_OUT = 5
-#: No margin is lower than this, in nats: for chains from UTF-8, whose bytes prove themselves, and for others.
-LEAST_MARGIN, LEAST_LEGACY_MARGIN = 3.0, 10.0
-#: At most this share of the held-out clean spans may pass a chain's margin.
-MISTAKES = 0.001
+HELD_OUT = 20
+#: Margins in nats of chains for which no held-out span tells one: from UTF-8, whose bytes prove themselves, and others.
+UNTESTED_MARGIN, UNTESTED_LEGACY_MARGIN = 3.0, 10.0
+#: At most this share of the held-out clean spans may pass a chain's margin, and fail it when garbled.
+MISTAKES, MISSES = 0.001, 0.005
 
 #: Decoders that are applied wrongly to UTF-8.
 WRONG_FOR_UTF8 = (
@@ -59,7 +58,9 @@ LOST_BYTES = bytes([0x81, 0x8D, 0x8F, 0x90, 0x9D, 0xA0, 0xAD])
 LOST = "�"
 
 _SPAN_COUNTS = pa.schema([("span", pa.string()), ("n", pa.int64())])
-_MARGIN_COUNTS = pa.schema([("chain", pa.string()), ("over", pa.int64()), ("n", pa.int64())])
+_MARGIN_COUNTS = pa.schema([("chain", pa.string()), ("garbled", pa.bool_()), ("over", pa.int64()), ("n", pa.int64())])
+#: Chains that only tell that characters were lost or made controls.
+LOST_CHAIN, CONTROL_CHAIN = "lost", "control"
 _SEPARATORS = re.compile(r"([ \-.,()'\"0-9]+)")
 
 
@@ -121,51 +122,113 @@ def _hangs_together(text: str) -> bool:
     return True
 
 
-def least_margin(chain: str) -> float:
-    return LEAST_MARGIN if "utf-8" in chain else LEAST_LEGACY_MARGIN
+def untested_margin(chain: str) -> float:
+    return UNTESTED_LEGACY_MARGIN if ">" in chain and "utf-8" not in chain else UNTESTED_MARGIN
+
+
+def _decoded(data: bytes, encoding: str) -> str:
+    """What a wrong decoder makes of bytes; those that it leaves undefined become controls."""
+    return "".join(_char_of(encoding)[x] for x in data)
+
+
+@lru_cache(None)
+def _char_of(encoding: str) -> list[str]:
+    return [char for char, _ in sorted(_byte_of(encoding).items(), key=lambda x: x[1])]
+
+
+def garbled_by(text: str) -> dict[str, str]:
+    """Chain name to what becomes of a text by its wrong decoder, for chains that change it and can be undone."""
+    found = {}
+    utf8 = text.encode("utf-8", "replace")
+    for wrong in WRONG_FOR_UTF8:
+        found[f"{wrong}>utf-8"] = _decoded(utf8, wrong)
+    for wrong, true in LEGACY:
+        try:
+            found[f"{wrong}>{true}"] = _decoded(text.encode(true), wrong)
+        except UnicodeEncodeError:
+            continue
+    lost = utf8.decode("cp1252", "replace")
+    if LOST in lost:
+        found[LOST_CHAIN] = lost
+    if any("\x80" <= x < "\xa0" for x in found["latin-1>utf-8"]):
+        found[CONTROL_CHAIN] = found["latin-1>utf-8"]
+    return {chain: garbled for chain, garbled in found.items() if garbled != text}
 
 
 def candidates(text: str) -> dict[str, str]:
-    """Chain name to candidate of every chain that ends in a text without junk; UTF-8 chains are tried twice over."""
+    """Chain name to candidate of every chain that ends in a text without junk.
+
+    Chains from UTF-8 are undone again and again, as long as they can; such a candidate is named by its last round.
+    """
     found: dict[str, str] = {}
     if text.isascii():
         return found
-    once = []
-    for wrong in WRONG_FOR_UTF8:
-        plain = _undone(text, (wrong, "utf-8"))
-        if plain is not None:
-            once.append((wrong, plain))
+    seen, todo = {text}, [text]
+    while todo:  # each round leaves fewer bytes, so there is an end
+        current = todo.pop()
+        for wrong in WRONG_FOR_UTF8:
+            plain = _undone(current, (wrong, "utf-8")) if not current.isascii() else None
+            if plain is None:
+                continue
             if not any(map(_is_junk, plain)):
-                found[f"{wrong}>utf-8"] = plain
-    for wrong, plain in once:
-        for again in WRONG_FOR_UTF8:
-            twice = _undone(plain, (again, "utf-8")) if not plain.isascii() else None
-            if twice is not None and not any(map(_is_junk, twice)):
-                found[f"{wrong}>utf-8>{again}>utf-8"] = twice
+                name = f"{wrong}>utf-8"
+                while name in found and found[name] != plain:
+                    name += "+"
+                found[name] = plain
+            if plain not in seen:
+                seen.add(plain)
+                todo.append(plain)
     # Spaces and invisible characters alone are no sign of a wrong decoder.
-    if not once and any(x > "\x7f" and unicodedata.category(x) not in ("Zs", "Cf") for x in text):
+    if len(seen) == 1 and any(x > "\x7f" and unicodedata.category(x) not in ("Zs", "Cf") for x in text):
         for chain in LEGACY:
             plain = _undone(text, chain)
             if plain is not None and all(map(_is_name_part, plain)) and _hangs_together(plain):
                 found[">".join(chain)] = plain
+    for chain, bare in ((LOST_CHAIN, text.replace(LOST, "")), (CONTROL_CHAIN, _CONTROL.sub("", text))):
+        if bare != text:
+            found[chain] = bare
     return found
 
 
-def refilled(text: str) -> Iterator[str]:
-    """Readings of UTF-8 seen as cp1252 in which U+FFFD stands for one of the lost bytes."""
-    if not 0 < text.count(LOST) <= 3:
-        return
-    parts = [_encode(x, "cp1252") for x in text.split(LOST)]
-    if any(x is None for x in parts):
-        return
-    for fill in product(LOST_BYTES, repeat=len(parts) - 1):
-        data = parts[0] + b"".join(bytes([x]) + y for x, y in zip(fill, parts[1:]))
-        try:
-            plain = data.decode("utf-8")
-        except UnicodeDecodeError:
-            continue
-        if not any(map(_is_junk, plain)):
-            yield plain
+_CONTROL = re.compile("[\x80-\x9f]")
+_CONTINUED = {**dict.fromkeys(range(0xC2, 0xE0), 1), **dict.fromkeys(range(0xE0, 0xF0), 2), **dict.fromkeys(range(0xF0, 0xF5), 3)}
+#: Readings of a word with lost characters that are followed at once.
+BEAM = 32
+
+
+def refilled(text: str, model: NgramModel) -> str | None:
+    """The likeliest reading of UTF-8 seen as cp1252 in which U+FFFD stands for one of the lost bytes; None without any.
+
+    Each UTF-8 sequence is filled by itself, whatever their number; the model ranks the readings as they grow.
+    """
+    table = _byte_of("cp1252")
+    data: list[int | None] = []
+    for char in text:
+        if char != LOST and char not in table:
+            return None
+        data.append(None if char == LOST else table[char])
+    readings: list[tuple[float, tuple, str]] = [(0.0, _START, "")]
+    at = 0
+    while at < len(data):
+        lead = data[at]
+        size = 0 if lead is not None and lead < 0x80 else _CONTINUED.get(lead)
+        if size is None or at + size >= len(data):
+            return None
+        options = set()
+        for rest in product(*[LOST_BYTES if x is None else (x,) for x in data[at + 1 : at + 1 + size]]):
+            try:
+                options.add(bytes([lead, *rest]).decode("utf-8"))
+            except UnicodeDecodeError:
+                continue
+        grown = []
+        for char in sorted(x for x in options if not _is_junk(x)):
+            for score, state, plain in readings:
+                after, gain = model.step(state, char)
+                grown.append((score + gain, after, plain + char))
+        readings = sorted(grown, key=lambda x: (-x[0], x[2]))[:BEAM]
+        at += 1 + size
+    ends = [(score + model.step(state, None)[1], plain) for score, state, plain in readings]
+    return max(ends)[1] if ends else None
 
 
 def spans(name: str) -> list[str]:
@@ -207,18 +270,27 @@ _FIRST, _LAST = 1, 2
 _MIX = (2654435761, 2246822519, 3266489917)
 
 
+_START = (_FIRST, _FIRST, 0, 0)
+
+
+def _advance(state: tuple, char: str | None) -> tuple[tuple, tuple[int, int, int, int, int, int]]:
+    """The state behind a character, None for the end, and the buckets of (char 3-gram, its context, char 2-gram, its
+    context, char) and the shape 3-gram that it ends."""
+    a, b, p, q = state
+    c = _LAST if char is None else ord(char.lower()[0])
+    r = 0 if char is None else _shape(char)
+    pair, single = a * _MIX[0] ^ b * _MIX[1], b * _MIX[1] ^ 0x51ED
+    return (b, c, q, r), (
+        (pair ^ c * _MIX[2]) % BUCKETS, (pair + 77) % BUCKETS, (single ^ c * _MIX[0]) % BUCKETS, single % BUCKETS,
+        c * _MIX[2] % BUCKETS, p << 12 | q << 6 | r,
+    )
+
+
 def _grams(text: str) -> Iterator[tuple[int, int, int, int, int, int]]:
-    """Buckets of (char 3-gram, its context, char 2-gram, its context, char) and the shape 3-gram of every character."""
-    a, b, p, q = _FIRST, _FIRST, 0, 0
+    state = _START
     for char in [*text, None]:
-        c = _LAST if char is None else ord(char.lower()[0])
-        r = 0 if char is None else _shape(char)
-        pair, single = a * _MIX[0] ^ b * _MIX[1], b * _MIX[1] ^ 0x51ED
-        yield (
-            (pair ^ c * _MIX[2]) % BUCKETS, (pair + 77) % BUCKETS, (single ^ c * _MIX[0]) % BUCKETS, single % BUCKETS,
-            c * _MIX[2] % BUCKETS, p << 12 | q << 6 | r,
-        )
-        a, b, p, q = b, c, q, r
+        state, buckets = _advance(state, char)
+        yield buckets
 
 
 #: Tables of counts: 3-grams and 2-grams (contexts apart), single characters, shape 3-grams and shape 2-gram contexts.
@@ -239,16 +311,21 @@ class NgramModel:
         self.total = float(tables[4].sum())
         self.shapes = float(tables[6].sum())
 
-    def score(self, text: str) -> float:
+    def _log(self, buckets: tuple[int, int, int, int, int, int]) -> float:
         tri, tri_context, bi, bi_context, one, shapes, shape_context = self.tables
-        total = 0.0
-        for t, tc, b, bc, c, s in _grams(text):
-            p = (one[c] + 0.01) / (self.total + 0.01 * BUCKETS)
-            p = (bi[b] + 2.0 * p) / (bi_context[bc] + 2.0)
-            p = (tri[t] + 2.0 * p) / (tri_context[tc] + 2.0)
-            shape = (shapes[s] + 0.02) / (shape_context[s >> 6] + 0.02 * 64)
-            total += math.log(p) + math.log(shape)
-        return total
+        t, tc, b, bc, c, s = buckets
+        p = (one[c] + 0.01) / (self.total + 0.01 * BUCKETS)
+        p = (bi[b] + 2.0 * p) / (bi_context[bc] + 2.0)
+        p = (tri[t] + 2.0 * p) / (tri_context[tc] + 2.0)
+        return math.log(p * (shapes[s] + 0.02) / (shape_context[s >> 6] + 0.02 * 64))
+
+    def score(self, text: str) -> float:
+        return sum(map(self._log, _grams(text)))
+
+    def step(self, state: tuple, char: str | None) -> tuple[tuple, float]:
+        """The state behind one more character, and its log-likelihood."""
+        state, buckets = _advance(state, char)
+        return state, self._log(buckets)
 
 
 @lru_cache(65536)
@@ -273,7 +350,7 @@ def is_clean(span: str) -> bool:
 
 
 def span_counts(names: DataFrame, column: str) -> DataFrame:
-    """``span, n``: distinct spans of a column of names, and in how many distinct batches' values each occurs."""
+    """``span, n``: distinct spans of a column of names, and in how many rows each occurs; combined before the shuffle."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter[str] = Counter()
@@ -282,8 +359,9 @@ def span_counts(names: DataFrame, column: str) -> DataFrame:
             return pa.RecordBatch.from_pydict({"span": list(counts.keys()), "n": list(counts.values())}, _SPAN_COUNTS)
 
         for batch in batches:
-            for name in batch.column(0).unique().to_pylist():
-                counts.update(spans(name))
+            for found in batch.column(0).value_counts().to_pylist():
+                for span in spans(found["values"]):
+                    counts[span] += found["counts"]
             if len(counts) > 200_000:
                 yield combined()
                 counts.clear()
@@ -320,31 +398,50 @@ def _ngram_counts(clean_spans: DataFrame) -> np.ndarray:
 
 
 def _margins(clean_spans: DataFrame, model_of) -> dict[str, float]:
-    """Margin of each chain: what at most the share MISTAKES of the held-out clean spans reach by it."""
+    """Margin of each chain from the held-out clean spans.
+
+    Of what these gain as they are, at most the share MISTAKES lies beyond the margin; of what they gain when garbled by
+    the chain, at most MISSES lies below, if both can be had.  It is set halfway between the two bounds.
+    """
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, bins = model_of(), Counter()
         for batch in batches:
             for span in batch.column(0).to_pylist():
                 if _held_out(span) and is_clean(span):
-                    bins["", 0] += 1
                     stands = model.score(span)
+                    bins["", False, 0] += 1
                     for chain, plain in candidates(span).items():
-                        bins[chain, min(200, math.ceil(max(0.0, model.score(plain) - stands)))] += 1
-        rows = [{"chain": chain, "over": over, "n": n} for (chain, over), n in bins.items()]
+                        bins[chain.rstrip("+"), False, math.ceil(max(0.0, model.score(plain) - stands))] += 1
+                    for chain, garbled in garbled_by(span).items():
+                        bare = {LOST_CHAIN: garbled.replace(LOST, ""), CONTROL_CHAIN: _CONTROL.sub("", garbled)}.get(chain)
+                        plain = stands if bare is None else model.score(bare)
+                        bins[chain, True, math.floor(plain - model.score(garbled))] += 1
+        rows = [{"chain": chain, "garbled": garbled, "over": over, "n": n} for (chain, garbled, over), n in bins.items()]
         yield pa.RecordBatch.from_pylist(rows, _MARGIN_COUNTS)
 
-    parts = clean_spans.mapInArrow(emit, "chain string, over long, n long")
-    rows = parts.groupBy("chain", "over").agg(F.sum("n").alias("n")).collect()  # chains times 201 bins at most
+    parts = clean_spans.mapInArrow(emit, "chain string, garbled boolean, over long, n long")
+    # Chains times gains in whole nats: bounded by the length of names, not by their number.
+    rows = parts.groupBy("chain", "garbled", "over").agg(F.sum("n").alias("n")).collect()
     total = sum(r.n for r in rows if not r.chain)
-    margins: dict[str, float] = {}
-    for chain in {r.chain for r in rows if r.chain}:
-        allowed = MISTAKES * total
-        for over, n in sorted(((r.over, r.n) for r in rows if r.chain == chain), reverse=True):
+
+    def bound(chain: str, garbled: bool, allowed: float) -> float | None:
+        """The gain that is passed by the allowed number of clean spans, or not reached by that of garbled ones."""
+        found = sorted(((r.over, r.n) for r in rows if r.chain == chain and r.garbled == garbled), reverse=not garbled)
+        for over, n in found:
             allowed -= n
             if allowed < 0:
-                margins[chain] = max(least_margin(chain), float(over))
-                break
+                return float(over)
+        return None
+
+    margins: dict[str, float] = {}
+    for chain in {r.chain for r in rows if r.chain}:
+        n_garbled = sum(r.n for r in rows if r.chain == chain and r.garbled)
+        clean, wrong = bound(chain, False, MISTAKES * total) or 0.0, bound(chain, True, MISSES * n_garbled)
+        if wrong is not None and wrong > clean:
+            margins[chain] = (clean + wrong) / 2
+        else:
+            margins[chain] = max(clean, untested_margin(chain))
     return margins
 
 
@@ -366,23 +463,28 @@ class EncodingRepair:
         return self._model
 
     def _judge(self, span: str) -> tuple[bool, str | None]:
-        if LOST in span:
-            return True, max(refilled(span), key=self.model.score, default=None)
+        words = _SEPARATORS.split(span)
+        if len(words) > 1 and LOST in span:  # words are filled each by itself
+            return self._by_words(words)
         stands, best = self.model.score(span), None
         for chain, plain in candidates(span).items():
-            score = self.model.score(plain)
-            if score - stands > self.margins.get(chain, least_margin(chain)) and (best is None or score > best[0]):
-                best = score, plain
+            gain = self.model.score(plain) - stands
+            name = chain.rstrip("+")
+            if gain > self.margins.get(name, untested_margin(name)):
+                told = None if name in (LOST_CHAIN, CONTROL_CHAIN) else plain
+                rank = (told is not None, gain)
+                if best is None or rank > best[0]:
+                    best = rank, told
         if best is not None:
-            return True, best[1]
-        words = _SEPARATORS.split(span)
-        if len(words) > 1:
-            judged = [(x, self.judge_span(x)) for x in words]
-            if any(bad for _, (bad, _) in judged):
-                parts = [plain if bad else x for x, (bad, plain) in judged]
-                return True, None if None in parts else "".join(parts)
-        # Control characters are left by decoders only; without a chain the original can't be told.
-        return any(unicodedata.category(x) == "Cc" for x in span if x > "\x7f"), None
+            return True, best[1] if best[1] is not None or LOST not in span else refilled(span, self.model)
+        return self._by_words(words) if len(words) > 1 else (False, None)
+
+    def _by_words(self, words: list[str]) -> tuple[bool, str | None]:
+        judged = [(x, self.judge_span(x)) for x in words]
+        if not any(bad for _, (bad, _) in judged):
+            return False, None
+        parts = [plain if bad else x for x, (bad, plain) in judged]
+        return True, None if None in parts else "".join(parts)
 
     def judge_span(self, span: str) -> tuple[bool, str | None]:
         """(garbled, original or None where it can't be told) of a span."""
@@ -416,7 +518,7 @@ def fit(names: DataFrame, column: str) -> EncodingRepair:
     """Train on the clean spans of all values of a column and validate the margins.
 
     Null and ASCII values have no spans.  Without any span, as in an empty table, the model is empty and chains keep
-    the least margin.
+    the margins of untested ones.
     """
     counted = cut(span_counts(names, column))
     counts = _ngram_counts(counted)
@@ -456,9 +558,10 @@ def garbled_flag(table: DataFrame, fitted: EncodingRepair):
     """A function that gives the column "is this name garbled" for a column name; for values beyond ASCII only."""
     shared = table.sparkSession.sparkContext.broadcast(fitted)
 
-    @F.pandas_udf(T.BooleanType())
-    def flag(values: pd.Series) -> pd.Series:
-        known = {x: shared.value.judge(x)[0] for x in values.unique()}
-        return pd.Series([known[x] for x in values], dtype=bool)
+    @F.arrow_udf("boolean")
+    def flag(values: pa.Array) -> pa.Array:
+        names = values.to_pylist()
+        known = {x: x is not None and shared.value.judge(x)[0] for x in set(names)}
+        return pa.array([known[x] for x in names], type=pa.bool_())
 
     return flag

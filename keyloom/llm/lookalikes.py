@@ -1,8 +1,9 @@
 """One consistent form for text that looks the same (problem 5).
 
-``fold`` composes compatibility normalisation, full case folding, mapped white space, removal of default-ignorable
-characters and look-alike letters.  ``oddities`` names what makes a value differ from its plain form.  Both run once
-for each distinct value of an Arrow batch; plain ASCII values never reach Python where only oddities are asked for.
+``fold`` composes steps: compatibility forms of letters, composed accents, removal of default-ignorable characters, spaces
+that break, one alphabet within a word; then full case folding and the compatibility forms of all other characters.
+``oddities`` names the steps of that composition that change a value.  Both run once for each distinct value of an Arrow
+batch; plain ASCII values never reach Python.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from __future__ import annotations
 import unicodedata
 from functools import lru_cache
 
-import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,6 +29,9 @@ LIKE = {
     "κ": "k", "μ": "m", "τ": "t", "χ": "x", "զ": "q", "ք": "p", "լ": "l", "ա": "w",
 }
 
+#: Letters that look like Latin ones as capitals only, where the small letter has another twin.
+CAPITALS = {"ν": "n", "υ": "y"}
+
 IGNORABLE = regex.compile(r"\p{Default_Ignorable_Code_Point}")
 #: Parts of an emoji: its joiners, variation selectors and tags are visible in their effect.
 EMOJI = regex.compile(
@@ -37,6 +41,7 @@ EMOJI = regex.compile(
 )
 NO_BREAK = regex.compile(r"[\u00A0\u2007\u202F]")
 _EMOJI_OR_IGNORABLE = regex.compile(f"({EMOJI.pattern})|{IGNORABLE.pattern}")
+_CLUSTER = regex.compile(r"\X")
 LETTERS = regex.compile(r"[\p{L}\p{M}]+")
 SPACES = regex.compile(r"[\p{Z}\t\n\v\f\r\x85]")
 _SCRIPTS = (
@@ -57,20 +62,17 @@ def script(letter: str) -> str:
 
 
 @lru_cache(65536)
-def _styled(char: str) -> bool:
-    """Is it a full-width, styled or joined form of ordinary letters?"""
+def _unstyled(char: str) -> str:
+    """The ordinary letters that a full-width, styled or joined form stands for; any other character itself."""
     plain = unicodedata.normalize("NFKC", char)
     if plain == char or unicodedata.normalize("NFC", char) != char:
-        return False
-    return all(unicodedata.category(x)[0] == "L" for x in plain)
+        return char
+    return plain if all(unicodedata.category(x)[0] == "L" for x in plain) else char
 
 
-def _split_accents(text: str) -> bool:
-    """Does a letter stand apart from a mark with which it has one composed character?"""
-    for cluster in regex.findall(r"\X", text):
-        if len(cluster) > 1 and len(unicodedata.normalize("NFC", cluster)) < len(cluster):
-            return True
-    return False
+def _composed(text: str) -> str:
+    """Letters composed with the marks that follow them; characters that stand alone stay."""
+    return _CLUSTER.sub(lambda m: unicodedata.normalize("NFC", m.group()) if len(m.group()) > 1 else m.group(), text)
 
 
 def _mixed(word: str) -> bool:
@@ -79,105 +81,126 @@ def _mixed(word: str) -> bool:
     return len(found) > 1 and bool(found & _WORD_SCRIPTS)
 
 
-def oddities(text: str) -> list[str]:
-    """Which of ``styled``, ``split accent``, ``invisible``, ``no-break space`` and ``mixed letters`` occur in a value.
+def _plain_word(match: regex.Match) -> str:
+    """A word that mixes alphabets, written in the one with more letters that no other has a twin of; else in Latin.
 
-    Joiners and selectors inside emoji don't count.
+    Capitals go the way of their small letters.
     """
-    if text.isascii():
-        return []
-    found = []
-    if any(_styled(x) for x in text if x > "\x7f"):
-        found.append("styled")
-    if _split_accents(text):
-        found.append("split accent")
-    bare = EMOJI.sub("", text)
-    if IGNORABLE.search(bare):
-        found.append("invisible")
-    if NO_BREAK.search(bare):
-        found.append("no-break space")
-    # An invisible character inside a word doesn't part it.
-    if any(_mixed(word) for word in LETTERS.findall(IGNORABLE.sub("", unicodedata.normalize("NFKC", bare)))):
-        found.append("mixed letters")
-    return found
-
-
-def _plain_word(match: regex.Match) -> str:
-    """A word that mixes alphabets, written in the one with more letters that no other has a twin of; else in Latin."""
     word = match.group()
     if word.isascii() or not _mixed(word):
         return word
-    others = [script(x) for x in word if script(x) in _WORD_SCRIPTS - {"latin"} and x not in TWINS]
+    small = [x.lower() if len(x.lower()) == 1 else x for x in word]
+    others = [script(x) for x in small if script(x) in _WORD_SCRIPTS - {"latin"} and x not in TWINS]
     home = max(sorted(set(others)), key=others.count, default="latin")
-    back = {plain: x for x, plain in reversed(TWINS.items()) if script(x) == home}
-    latin = sum(script(x) == "latin" and x not in back for x in word)
+    twin = {plain: x for x, plain in reversed(TWINS.items()) if script(x) == home}
+    back = {plain: x for x, plain in reversed((LIKE | CAPITALS).items()) if script(x) == home} | twin
+    latin = sum(script(x) == "latin" and x not in twin for x in small)
     if latin >= others.count(home):
-        return "".join(TWINS.get(x) or LIKE.get(x) or x for x in word)
-    return "".join(back.get(TWINS.get(x, x), x) if script(x) != home else x for x in word)
+        plain = [TWINS.get(x) or LIKE.get(x) or x for x in small]
+    else:
+        plain = [back.get(TWINS.get(x, x), x) if script(x) != home else x for x in small]
+    return "".join(own if new == low else new.upper() if own != low else new for own, low, new in zip(word, small, plain))
+
+
+def _one_alphabet(text: str) -> str:
+    """Words that mix alphabets written in one; an invisible character inside a word doesn't part it."""
+    return LETTERS.sub(_plain_word, text)
+
+
+#: The steps that bring a value to its consistent spelling, by what they undo.
+STEPS = (
+    ("styled", lambda text: "".join(map(_unstyled, text))),
+    ("split accent", _composed),
+    ("invisible", lambda text: _EMOJI_OR_IGNORABLE.sub(r"\1", text)),
+    ("no-break space", lambda text: NO_BREAK.sub(" ", text)),
+    ("mixed letters", _one_alphabet),
+)
+
+
+def _steps(text: str) -> tuple[str, list[str]]:
+    """(a value after all steps, the names of those that changed it)."""
+    changed = []
+    for name, step in STEPS:
+        plain = step(text)
+        if plain != text:
+            changed.append(name)
+            text = plain
+    # Letters without a twin can't be rewritten; the word mixes alphabets all the same.
+    if changed[-1:] != ["mixed letters"] and any(map(_mixed, LETTERS.findall(text))):
+        changed.append("mixed letters")
+    return text, changed
+
+
+def oddities(text: str) -> list[str]:
+    """Which of ``styled``, ``split accent``, ``invisible``, ``no-break space`` and ``mixed letters`` occur in a value.
+
+    These are the steps of ``fold`` that change it, and the last also where it finds a mixed word that it can't change.  Joiners and selectors inside emoji don't count.
+    """
+    return [] if text.isascii() else _steps(text)[1]
 
 
 def fold(text: str) -> str:
-    """The consistent form of a value: values that look the same have the same.  ``fold(fold(x)) == fold(x)``.
+    """The consistent form of a value, for comparisons.  ``fold(fold(x)) == fold(x)``.
 
     NFKC, full case folding, spaces of any kind as U+0020, no default-ignorable characters but those inside emoji, and
-    words that mix alphabets written in one.
+    words that mix alphabets written in one.  Words wholly in another alphabet stay in it, even if all their letters
+    look like Latin ones: which of the two is meant can't be told.
     """
-    if text.isascii():
-        return SPACES.sub(" ", text.casefold())
-    for _ in range(4):  # folding may compose and composing may fold; a few rounds settle every character
-        visible = _EMOJI_OR_IGNORABLE.sub(r"\1", unicodedata.normalize("NFKC", text))
-        plain = unicodedata.normalize("NFKC", visible.casefold())
-        if plain == text:
-            break
-        text = plain
-    return unicodedata.normalize("NFKC", LETTERS.sub(_plain_word, SPACES.sub(" ", text)))
+    seen: set[str] = set()
+    while not text.isascii() and text not in seen:  # folding may compose and composing may fold, until nothing changes
+        seen.add(text)
+        text = unicodedata.normalize("NFKC", _steps(text)[0].casefold())
+        text = unicodedata.normalize("NFKC", _EMOJI_OR_IGNORABLE.sub(r"\1", SPACES.sub(" ", text)))
+    return SPACES.sub(" ", text.casefold())
 
 
-def _by_distinct(values: pd.Series, function) -> pd.Series:
-    known = {x: function(x) for x in values.dropna().unique()}
-    return values.map(known, na_action="ignore").astype(object).where(values.notna(), None)
+NOT_ASCII = r"[^\x00-\x7F]"
 
 
-@F.pandas_udf(T.StringType())
-def folded(values: pd.Series) -> pd.Series:
-    """``fold`` of each distinct value; null for null."""
-    return _by_distinct(values, fold)
+@F.arrow_udf(T.StringType())
+def _folded(values: pa.Array) -> pa.Array:
+    names = values.to_pylist()
+    known = {x: None if x is None else fold(x) for x in set(names)}
+    return pa.array([known[x] for x in names], pa.string())
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def odd_kinds(values: pd.Series) -> pd.Series:
-    """``oddities`` of each distinct value; null for null."""
-    return _by_distinct(values, oddities)
+def folded(text: Column) -> Column:
+    """``fold`` of a text column; null for null.  ASCII texts stay in the JVM."""
+    other = text.rlike(NOT_ASCII)
+    plain = F.regexp_replace(F.lower(text), r"[\t\n\x0B\f\r]", " ")
+    return F.when(other, _folded(F.when(other, text))).otherwise(plain)
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def folded_all(values: pd.Series) -> pd.Series:
-    """``fold`` of each element of each array; null arrays and elements stay null."""
+@F.arrow_udf(T.ArrayType(T.StringType()))
+def _folded_all(values: pa.Array) -> pa.Array:
     known: dict[str | None, str | None] = {None: None}
-
-    def one(items):
-        if items is None:
-            return None
-        for x in items:
+    out = []
+    for items in values.to_pylist():
+        for x in items or ():
             if x not in known:
                 known[x] = fold(x)
-        return [known[x] for x in items]
-
-    return values.map(one, na_action="ignore")
+        out.append(None if items is None else [known[x] for x in items])
+    return pa.array(out, pa.list_(pa.string()))
 
 
-NOT_ASCII = r"[^\x00-\x7F]"
+def folded_all(texts: Column) -> Column:
+    """``fold`` of each element of an array column; null arrays and elements stay null.  ASCII arrays stay in the JVM."""
+    other = F.exists(texts, lambda x: x.rlike(NOT_ASCII))
+    plain = F.transform(texts, lambda x: F.regexp_replace(F.lower(x), r"[\t\n\x0B\f\r]", " "))
+    return F.when(other, _folded_all(F.when(other, texts))).otherwise(plain)
 
 
-@F.pandas_udf(T.BooleanType())
-def any_odd(values: pd.Series) -> pd.Series:
+@F.arrow_udf(T.BooleanType())
+def any_odd(values: pa.Array) -> pa.Array:
     """Does any element of each array hold oddities?  Null elements don't."""
     known: dict[str | None, bool] = {None: False}
-    for items in values:
-        for x in items:
+    out = []
+    for items in values.to_pylist():
+        for x in items or ():
             if x not in known:
                 known[x] = bool(oddities(x))
-    return pd.Series([any(known[x] for x in items) for items in values], dtype=bool)
+        out.append(any(known[x] for x in items or ()))
+    return pa.array(out, pa.bool_())
 
 
 def odd_rows(table: DataFrame, key: str, field: str, values: Column) -> DataFrame:
@@ -196,7 +219,7 @@ def consistent(table: DataFrame, key: str) -> DataFrame:
     come out repeated.  An empty table gives an empty result.
     """
     both = table.select(key, "path", "tags").select(
-        key, "path", "tags", folded("path").alias("path_folded"), folded_all("tags").alias("tags_folded")
+        key, "path", "tags", folded(F.col("path")).alias("path_folded"), folded_all(F.col("tags")).alias("tags_folded")
     )
     changed = ~F.col("path").eqNullSafe(F.col("path_folded")) | ~F.col("tags").eqNullSafe(F.col("tags_folded"))
     return both.where(changed)

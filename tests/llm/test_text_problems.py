@@ -95,7 +95,7 @@ def test_many_terms_in_one_record(spark):
         (unicodedata.normalize("NFD", "café"), ["split accent"], "café"), ("back​up", ["invisible"], "backup"),
         ("a b", ["no-break space"], "a b"), ("a b", ["no-break space"], "a b"), ("a b", ["no-break space"], "a b"),
         ("рlаn", ["mixed letters"], "plan"), ("пpoeкт", ["mixed letters"], "проект"), ("έpγo", ["mixed letters"], "έργο"),
-        ("iոterոal", ["mixed letters"], "internal"), ("👩‍💻", [], "👩‍💻"), ("❤️", [], "❤️"), ("музыка‍", ["invisible"], "музыка"),
+        ("iոterոal", ["mixed letters"], "internal"), ("INDЕХЕD", ["mixed letters"], "indexed"), ("TAΧ", ["mixed letters"], "tax"), ("жֆя", ["mixed letters"], "жֆя"), ("ΑNΑΦΟΡΆ", ["mixed letters"], "αναφορά"), ("👩‍💻", [], "👩‍💻"), ("❤️", [], "❤️"), ("музыка‍", ["invisible"], "музыка"),
         ("Straße", [], "strasse"), ("проект plan", [], "проект plan"), ("写真album", [], "写真album"), ("ASCII", [], "ascii"),
         ("데이터", [], "데이터"), (unicodedata.normalize("NFD", "データ"), ["split accent"], "データ"), ("", [], ""),
     ],
@@ -117,6 +117,57 @@ def test_invisible_characters_and_case_make_no_difference(text, hidden, at):
     assert fold(text[:at] + hidden + text[at:]) == fold(text) == fold(text.upper())
 
 
+def test_whole_words_of_another_alphabet_stay():
+    assert fold("сосо") == "сосо" and oddities("сосо") == [] and fold("сoco") == "coco"
+
+
+def test_oddities_come_from_the_steps_of_fold(monkeypatch):
+    monkeypatch.setattr(lookalikes, "STEPS", lookalikes.STEPS[:1])
+    assert oddities("ｐｌаn​") == ["styled"]
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.none() | st.text(alphabet=st.characters(exclude_categories=["Cs"], exclude_characters="\0"), max_size=6), max_size=6))
+def test_folded_columns_equal_the_function(spark, values):
+    table = spark.createDataFrame([(v, values) for v in [*values, "A\tB\x0bC\x1cD"]], "v string, a array<string>")
+    for row in table.select("v", "a", lookalikes.folded(F.col("v")).alias("f"), lookalikes.folded_all(F.col("a")).alias("g")).collect():
+        assert row.f == (None if row.v is None else fold(row.v))
+        assert row.g == [None if x is None else fold(x) for x in row.a]
+
+
+def test_many_lost_characters(fitted):
+    word = "příloha"
+    name = " ".join([garble("résumé", "cp1252"), *[word.encode().decode("cp1252", "replace")] * 6])
+    assert fitted.judge("/x/" + name) == (True, "/x/" + " ".join(["résumé", *[word] * 6]))
+
+
+def test_thrice_garbled(fitted):
+    text = "canción"
+    for _ in range(3):
+        text = garble(text, "latin-1")
+    assert fitted.judge("/x/" + text) == (True, "/x/canción")
+
+
+def test_margins_lie_between_clean_and_garbled_spans(fitted):
+    tested = [m for chain, m in fitted.margins.items() if chain.endswith("utf-8")]
+    assert len(tested) > 8 and all(m > 0 for m in tested) and len(set(tested)) > 3
+
+
+def test_counts_do_not_depend_on_the_layout(spark):
+    rows = [(f"/a/{w}",) for w in WORDS for _ in range(3)]
+    table = spark.createDataFrame(rows, "path string")
+    count = lambda t: {(r.span, r.n) for r in encoding_repair.span_counts(t, "path").collect()}
+    assert count(table.repartition(1)) == count(table.repartition(7)) == {(w, 3) for w in WORDS if not w.isascii()}
+
+
+def test_held_out_names_are_restored(fitted):
+    """Share of garbled held-out spans that are found and restored, and of clean ones that are left alone."""
+    held = [w for w in "señal café naïve Übung плюс записка журнал 記録 写真集 보고 λόγος žába příběh święta".split()]
+    assert not any(fitted.judge_span(w)[0] for w in held)
+    tried = [(w, g) for w in held for chain, g in encoding_repair.garbled_by(w).items() if chain.endswith("utf-8")]
+    assert sum(fitted.judge_span(g) == (True, w) for w, g in tried) / len(tried) > 0.9
+
+
 def test_odd_and_consistent_rows(spark):
     rows = [(1, "/A", ["x"]), (2, None, None), (3, "/a", [None, "ｘ"]), (4, "/ｂ", []), (4, "/ｂ", []), (5, "/a", ["x"])]
     table = spark.createDataFrame(rows, "entry_no long, path string, tags array<string>").withColumn("values", F.lit(1))
