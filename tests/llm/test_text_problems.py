@@ -123,7 +123,7 @@ def test_whole_words_of_another_alphabet_stay():
 
 def test_oddities_come_from_the_steps_of_fold(monkeypatch):
     monkeypatch.setattr(lookalikes, "STEPS", lookalikes.STEPS[:1])
-    assert oddities("ｐｌаn​") == ["styled"]
+    assert oddities("ｐｌan​") == ["styled"]
 
 
 @settings(max_examples=60, deadline=None)
