@@ -9,12 +9,12 @@ from pyspark.sql import functions as F
 
 from keyloom.operators.eager_aggregate import eager_join_aggregate, group_totals, heavy_groups
 from keyloom.runtime import table
-from keyloom.sources.raw_lines import load_lines
+from keyloom.sources.raw_lines import failed_numbers, load_lines
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines that fail to parse."""
-    return load_lines(table(spark, sf_dir, "sample_raw"))[1].select("line_no")
+    return failed_numbers(table(spark, sf_dir, "sample_raw")).select("line_no")
 
 
 def p1_failed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,7 +29,7 @@ def p1_valid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p1_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many lines of each format fail for each reason."""
-    failed = load_lines(table(spark, sf_dir, "sample_raw"))[1]
+    failed = failed_numbers(table(spark, sf_dir, "sample_raw"))
     return failed.groupBy("fmt", "reason").agg(F.count(F.lit(1)).alias("n_lines"))
 
 
@@ -58,7 +58,27 @@ _TAG_ROWS = """
     SELECT DISTINCT entry_no, size, lower(t) AS value FROM (SELECT entry_no, size, unnest(tags) AS t FROM sample)
     WHERE t IS NOT NULL"""
 
+_INTEGER = r"(?:0|[1-9][0-9]*)"
+#: Valid JSON for this check: DuckDB's parser lets trailing commas and NaN pass.
+_JSON_OK = rf"""json_valid(value) AND json_type(value) = 'OBJECT' AND NOT regexp_matches(value, ',\s*[}}\]]\s*$')
+    AND NOT regexp_matches(value, ':\s*-?(NaN|Infinity|nan|inf)')
+    AND json_type(value, '$.path') = 'VARCHAR' AND json_extract_string(value, '$.path') <> ''
+    AND coalesce(json_type(value, '$.tags'), 'NULL') IN ('NULL', 'ARRAY')
+    AND json_type(value, '$.last_modified') IN ('UBIGINT', 'BIGINT')
+    AND TRY_CAST(json_extract_string(value, '$.last_modified') AS HUGEINT) BETWEEN 0 AND 4102444799
+    AND regexp_full_match(CAST(json_extract(value, '$.size') AS VARCHAR), '-0|{_INTEGER}')"""
+_FIELD = r'("([^"]|"")*"|[^",\r\n]*)'
+_CSV_OK = rf"""regexp_full_match(value, '{_FIELD},{_FIELD},{_FIELD},{_FIELD}')
+    AND regexp_extract(value, '^{_FIELD}', 1) NOT IN ('', '""')
+    AND regexp_full_match(trim(regexp_extract(value, '^{_FIELD},{_FIELD},{_FIELD},{_FIELD}$', 3), '"'), '0*[0-9]{{1,10}}')
+    AND TRY_CAST(trim(regexp_extract(value, '^{_FIELD},{_FIELD},{_FIELD},{_FIELD}$', 3), '"') AS HUGEINT) < 4102444800
+    AND regexp_full_match(trim(regexp_extract(value, '^{_FIELD},{_FIELD},{_FIELD},{_FIELD}$', 5), '"'), '[0-9]+')"""
+
 ORACLE_SQL: dict[str, str] = {
+    "p1_found": f"""
+        SELECT line_no FROM sample_raw WHERE value <> '' AND NOT coalesce(
+            CASE WHEN fmt = 'jsonl' THEN CASE WHEN json_valid(value) THEN {_JSON_OK} ELSE false END
+                 WHEN fmt = 'csv' THEN CASE WHEN {_CSV_OK} THEN true ELSE false END ELSE false END, false)""",
     "p2_found": rf"""
         WITH total AS (SELECT count(*) AS n FROM sample),
         dirs AS (

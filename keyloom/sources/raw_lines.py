@@ -74,6 +74,63 @@ def _no_constant(name: str):
 _DECODER = json.JSONDecoder(parse_int=_Int, parse_float=_Float, parse_constant=_no_constant, strict=True)
 
 
+_JSON_TOKEN = re.compile(
+    r'[ \t\r\n]*+(?:([\[\]{},:])|("(?:[^"\\\x00-\x1f]|\\(?:["\\/bfnrt]|u[0-9A-Fa-f]{4}))*+")'
+    r"|(-?(?:0|[1-9][0-9]*+)(?:\.[0-9]++)?(?:[eE][+-]?[0-9]++)?)|(true|false|null)|$)"
+)
+_LITERALS = {"true": True, "false": False, "null": None}
+
+
+def decode_deep(text: str):
+    """Strict JSON of any depth, without recursion; ValueError where it isn't."""
+    holders: list[tuple[list | dict, str | None]] = []  # open arrays and objects, each with the name that waits in it
+    result, at, wanted = None, 0, "value"
+    while True:
+        match = _JSON_TOKEN.match(text, at)
+        if match is None or (match.end() == at and wanted != "end"):
+            raise ValueError(f"nothing valid at {at}")
+        sign, string, number, literal = match.groups()
+        if wanted == "end":
+            if match.end() != len(text) or sign or string or number or literal:
+                raise ValueError(f"extra data at {at}")
+            return result
+        at = match.end()
+        if wanted in ("name", "name or }") and string is not None:
+            holders[-1] = (holders[-1][0], _DECODER.decode(string))
+            wanted = ":"
+            continue
+        if wanted == ":" and sign == ":":
+            wanted = "value"
+            continue
+        if wanted == "next" and sign == ",":
+            wanted = "name" if isinstance(holders[-1][0], dict) else "value"
+            continue
+        closing = {"]": list, "}": dict}.get(sign)
+        if closing and holders and isinstance(holders[-1][0], closing) and wanted in ("next", "value or ]", "name or }"):
+            value = holders.pop()[0]
+        elif wanted not in ("value", "value or ]"):
+            raise ValueError(f"{sign or string or number or literal!r} at {match.start()}")
+        elif sign in ("[", "{"):
+            holders.append(([], None) if sign == "[" else ({}, None))
+            wanted = "value or ]" if sign == "[" else "name or }"
+            continue
+        elif sign:
+            raise ValueError(f"{sign!r} at {match.start()}")
+        elif literal:
+            value = _LITERALS[literal]
+        else:
+            value = _DECODER.decode(string or number)
+        if not holders:
+            result, wanted = value, "end"
+            continue
+        holder, name = holders[-1]
+        if isinstance(holder, dict):
+            holder[name] = value
+        else:
+            holder.append(value)
+        wanted = "next"
+
+
 def _kind(value) -> str:
     if value is None:
         return "null"
@@ -103,7 +160,10 @@ def split_json(line: str) -> tuple[str | None, str | None, str | None, str | Non
     try:
         record = _DECODER.decode(line.strip(_JSON_SPACE))
     except RecursionError:
-        return ("JSON is nested too deeply", *failed)
+        try:
+            record = decode_deep(line)
+        except ValueError as error:
+            return (f"not strict JSON: {error}", *failed)
     except ValueError as error:
         return (f"not strict JSON: {getattr(error, 'msg', None) or error}", *failed)
     if not isinstance(record, dict):
@@ -202,6 +262,26 @@ def invalid_values(split: DataFrame, field: str, latest: int | None) -> DataFram
     return distinct.select("token", _cast_reason(field, latest).alias("reason")).where(F.col("reason").isNotNull())
 
 
+def _judged(split: DataFrame) -> DataFrame:
+    """Split lines with the column ``reason``, empty for valid ones: structure and dictionaries of invalid values."""
+    times = invalid_values(split, "last_modified", LATEST_TIME).select(
+        F.col("token").alias("last_modified"), F.col("reason").alias("bad_time")
+    )
+    sizes = invalid_values(split, "size", None).select(F.col("token").alias("size"), F.col("reason").alias("bad_size"))
+    # Dictionaries hold invalid values only.  Where one isn't small, AQE splits the hot tokens of the left side.
+    return (
+        split.join(times, "last_modified", "left")
+        .join(sizes, "size", "left")
+        .withColumn("reason", F.concat_ws("; ", "structure", "bad_time", "bad_size"))
+    )
+
+
+def failed_numbers(raw: DataFrame) -> DataFrame:
+    """``line_no, shard, fmt, reason`` of the failed lines, as by ``load_lines``; texts aren't kept on the way."""
+    judged = _judged(cut(split_lines(raw).select("line_no", "shard", "fmt", "structure", "last_modified", "size")))
+    return judged.where(F.col("reason") != "").select("line_no", "shard", "fmt", "reason")
+
+
 def load_lines(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(valid, failed) of the raw lines ``line_no, shard, fmt, value``.
 
@@ -214,17 +294,7 @@ def load_lines(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     empty ones.  JSON names that occur twice count with their last value.  Elements of ``tags`` that aren't strings
     are left out.
     """
-    split = cut(split_lines(raw))
-    times = invalid_values(split, "last_modified", LATEST_TIME).select(
-        F.col("token").alias("last_modified"), F.col("reason").alias("bad_time")
-    )
-    sizes = invalid_values(split, "size", None).select(F.col("token").alias("size"), F.col("reason").alias("bad_size"))
-    # Dictionaries hold invalid values only.  Where one isn't small, AQE splits the hot tokens of the left side.
-    judged = (
-        split.join(times, "last_modified", "left")
-        .join(sizes, "size", "left")
-        .withColumn("reason", F.concat_ws("; ", "structure", "bad_time", "bad_size"))
-    )
+    judged = _judged(cut(split_lines(raw)))
     raw_size = F.substring_index("size", ":", -1)
     valid = judged.where(F.col("reason") == "").select(
         "line_no",

@@ -36,7 +36,7 @@ FAILING = [
     ("jsonl", GOOD_JSON.replace(":1,", ':"1",'), "string"), ("jsonl", GOOD_JSON.replace(":1,", ":-1,"), "negative"),
     ("jsonl", GOOD_JSON.replace(":1,", ":4102444800,"), "out of range"), ("jsonl", GOOD_JSON.replace(":2,", ":-2,"), "negative"),
     ("jsonl", GOOD_JSON.replace(":2,", ":null,"), "null"), ("jsonl", '{"path":"/a","size":1}', "absent"),
-    ("jsonl", GOOD_JSON.replace('["x",3,null]', '"x"'), "tags"), ("jsonl", "[" * 100_000, "nested"),
+    ("jsonl", GOOD_JSON.replace('["x",3,null]', '"x"'), "tags"), ("jsonl", "[" * 100_000, "strict"),
     ("csv", "/a,1,2", "fewer"), ("csv", "/a,1,2,x,", "more"), ("csv", '"/a,1,2,', "closed"), ("csv", '/a"b,1,2,', "inside"),
     ("csv", '"/a" b,1,2,', "beside"), ("csv", "/a\n,1,2,", "line break"), ("csv", ",1,2,", "path is empty"),
     ("csv", '"",1,2,', "path is empty"), ("csv", "/a, 1,2,", "digits"), ("csv", "/a,+1,2,", "digits"), ("csv", "/a,1,,", "size is empty"),
@@ -138,3 +138,27 @@ def test_registered_queries_run(spark, name):
     import __spark_entry__ as entry
 
     assert entry.queries()[name](spark, "/root/testdata/sf0.001").columns
+
+
+@pytest.mark.parametrize("text", ['{"a":' * 3 + "[1,2.5e3,{}]" + "}" * 3, "[]", ' {"x" : [ ] , "x":-0}', '"a\\u00e9"', "true"])
+def test_deep_decoder_reads_what_the_other_does(text):
+    from keyloom.sources.raw_lines import _DECODER, decode_deep
+
+    assert decode_deep(text) == _DECODER.decode(text.strip())
+
+
+@pytest.mark.parametrize("text", ["", "[1,]", '{"a":1,}', '{"a"}', "[1 2]", "]", "{]", '{"a":}', "[1]]", "01", '"\t"', "nul", "{,}", "[,]", "1 1", ":"])
+def test_deep_decoder_refuses(text):
+    from keyloom.sources.raw_lines import decode_deep
+
+    with pytest.raises(ValueError):
+        decode_deep(text)
+
+
+def test_deeply_nested_lines_are_valid():
+    from keyloom.sources.raw_lines import split_json
+
+    deep = "[" * 100_000 + "]" * 100_000
+    good = '{"path":"/a","last_modified":1,"size":2,"tags":["t"],"x":%s}'
+    assert split_json(good % deep) == (None, "/a", "int:1", "int:2", ["t"])
+    assert split_json(good % deep[:-1])[0].startswith("not strict JSON")
