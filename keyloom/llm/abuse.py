@@ -46,8 +46,8 @@ _LINK = re.compile(r"\b(?:https?://|www\.)\S+")
 #: Letters one by one, words with their signs, commas, clause ends.
 _SINGLE = r"[^\W_](?![\w@$*#€'’])"
 _TOKEN = re.compile(
-    r"[^\W_](?:" + "|".join(rf"(?:{sign}{_SINGLE}){{2,}}" for sign in (" ", r"\.", "-", "·")) + ")"
-    r"|[\w@$*#€]+(?:![\w@$*#€]+)*|,|[\r\n]+|[.!?;:…]+(?=\s|$)|[–—]+"
+    r"[\w@$*#€]{2,}(?:![\w@$*#€]+)*|[^\W_](?:" + "|".join(rf"(?:{sign}{_SINGLE}){{2,}}" for sign in (" ", r"\.", "-", "·")) + ")"
+    r"|[\w@$*#€](?:![\w@$*#€]+)*|,|[\r\n]+|[.!?;:…]+(?=\s|$)|[–—]+"
 )
 _SHORT_FORMS = re.compile(r"(?<=[^\W_])(?:(n)['’]t|['’](re|ll|ve|m|d|s))\b")
 _LONG_FORMS = {"re": " are", "ll": " will", "ve": " have", "m": " am", "d": " would", "s": " is"}
